@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = np.uint64
 #: 2**26 bits, 8 MB whatever the input's size: the bound of every broadcast row filter.
@@ -162,3 +163,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[last[last >= 0]] = False
     ends = np.flatnonzero(letter & ~after) + 1
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def append_columns(df: DataFrame, added: str, start) -> DataFrame:
+    """df with the columns of the DDL text `added`; start() is called in each task and returns a function from an Arrow batch to the new columns' arrays."""
+    new = T.StructType.fromDDL(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *make(b)], names=[*b.schema.names, *new.names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores what no column of df is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
