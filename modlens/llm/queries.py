@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from modlens.llm import language, mixing, quality, toxicity
+from modlens.llm import language, mixing, neardup, quality, toxicity
 
 
 def queries():
-    found = [toxicity.op1_toxicity, quality.op2_quality, language.op7_language, mixing.op10_mix_sources]
+    found = [toxicity.op1_toxicity, quality.op2_quality, language.op7_language, neardup.op8_near_duplicates, mixing.op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
