@@ -40,16 +40,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", keep: Sequence[str] = ()) -> DataFrame:
     """How often each document is taken so that the sources' words come near their targets.
 
-    Columns: doc_id, size (words of the text), source_size, target, rate, copies, taken, and those named in keep.
+    Columns: doc_id, size (words of the text), source_size, target, rate, copies, taken, source, and those named in keep.
     A document gets floor(rate) copies and one more with the probability of the fraction, from a hash of the seed and
     doc_id, so reruns agree and repeated rows of an id go together. Sources get the weights by turns in code point
     order, null last; targets share `share` of all words and stop at `most` times their source's.
     A null text has size 0; a source without words has target 0 and rate 0; a null doc_id is hashed as "null".
     An empty table gives an empty table. Other columns are ignored.
     """
-    sizes = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    if not keep:  # the words are counted once, and the counts read twice
-        sizes = stage(sizes, "mix-sizes")
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    # the words are counted once and the counts read twice; with the texts to carry along the count is repeated instead
+    sizes = docs.select("doc_id", "source", *keep, words)
+    sizes = sizes if keep else stage(sizes, "mix-sizes")
     targets = source_targets(sizes.select("source", "size"), weights, share, most).withColumnRenamed("source", "of_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     copies = F.floor("rate") + F.when(_unit(seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
@@ -57,7 +58,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
         sizes.join(targets, F.col("source").eqNullSafe(F.col("of_source")))
         .withColumn("rate", rate)
         .withColumn("copies", copies.cast("long"))
-        .select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), *keep)
+        .select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), "source", *keep)
     )
 
 

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from modlens.llm import ctw, dedup_spans, language, mixing, neardup, pages, quality, toxicity
+from modlens.llm import ctw, decontamination, dedup_spans, language, mixing, neardup, pages, quality, toxicity, vectors
 
 
 def queries():
-    found = [toxicity.op1_toxicity, quality.op2_quality, dedup_spans.op3_repeated_spans, pages.op4_main_text, ctw.op6_context_tree, language.op7_language, neardup.op8_near_duplicates, mixing.op10_mix_sources]
+    found = [
+        toxicity.op1_toxicity,
+        quality.op2_quality,
+        dedup_spans.op3_repeated_spans,
+        pages.op4_main_text,
+        vectors.op5_near_vectors,
+        ctw.op6_context_tree,
+        language.op7_language,
+        neardup.op8_near_duplicates,
+        decontamination.op9_benchmark_passages,
+        mixing.op10_mix_sources,
+    ]
     return {f.__name__: f for f in found}
 
 
