@@ -1,0 +1 @@
+"""Moderation and quota analytics of LLM requests on Spark."""
