@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from modlens.llm.common import Rolling, U, byte_chunks, filter_slot, in_filter, key_filter, lower_ascii, mix, read, stage, unstage, word_spans
 from modlens.llm.graph import components
 
-COORDS = 256  # of a sketch; a power of two
+COORDS = 512  # of a sketch; a power of two
 ROWS = 4  # coordinates of a band
 M = (1 << 64) - 1
 _K = mix(np.arange(11, 11 + 64, dtype=np.uint64))
@@ -122,15 +122,30 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return sets.join(wanted, F.col("of_key") == F.col("key")).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+LONGS = COORDS // 32
+#: What a candidate's row carries: sketch words and sizes, as columns of their own.
+FACTS = [f"s{i}" for i in range(LONGS)] + ["size", "common"]
+
+
 def _different(a: str, b: str) -> Column:
-    """Coordinates whose two bits differ."""
+    """Coordinates whose two bits differ; a and b are prefixes of column names."""
     total = F.lit(0)
-    for i in range(COORDS // 32):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+    for i in range(LONGS):
+        x = F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))
         total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     return total
 
 
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether two rows can be linked: by the shingles that other sets have too, and by their sketches."""
+    m = F.least(F.col(f"{a}common"), F.col(f"{b}common"))
+    return (100 * m >= percent * (F.col(f"{a}size") + F.col(f"{b}size") - m)) & (_different(a, b) <= most_different(percent / 100))
+
+
+def prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * |intersection| >= percent * |union| of their full sets."""
     sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -141,46 +156,83 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def able_to_link(sets: DataFrame, percent: int) -> DataFrame:
+    """node, size, common of the sets that can be linked at all. common: how many of its shingles another set here has
+    too, which no intersection exceeds. Sets of equal shingles are one node, so a shingle counts once a set."""
+    own = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("node").alias("n"), F.min("node").alias("of"))
+    alone = own.where("n = 1").groupBy("of").agg(F.count("s").alias("alone"))
+    out = sets.select("node", F.size("shingles").cast("long").alias("size")).join(alone, F.col("node") == F.col("of"), "left")
+    out = out.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    return out.where(100 * F.col("common") >= percent * F.col("size"))
+
+
+def rooted(df: DataFrame, node: str, name: str, roots: DataFrame | None) -> DataFrame:
+    """df with the component of its node column; a node without links is its own."""
+    if roots is None:
+        return df.withColumn(name, F.col(node))
+    r = roots.select(F.col("node").alias("at_"), F.col("root").alias("root_"))
+    return df.join(r, F.col(node) == F.col("at_"), "left").withColumn(name, F.coalesce("root_", node)).drop("at_", "root_")
+
+
+def best_heads(nodes: DataFrame, key: str, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b): each node with the nearest head of its buckets that is of another component.
+
+    key: an array column with the node's buckets. A bucket's head is its most central set: that with the largest share
+    of shingles that others have too. Buckets are summed up before the join, so a hot one sends one head.
+    """
+    rows = rooted(nodes, "node", "mine", roots).withColumn("bucket", F.explode(key)).drop("bands", "pairs", "fours")
+    central = F.struct((F.col("common") / F.col("size")).alias("c"), (-F.col("node")).alias("n"), *["node", "mine", *FACTS])
+    heads = rows.groupBy("bucket").agg(F.max(central).alias("h"), F.count("node").alias("n")).where("n > 1").select(F.col("bucket").alias("of"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in ["node", "mine", *FACTS]])
+    met = rows.join(heads, F.col("bucket") == F.col("of")).where((F.col("mine") != F.col("h_mine")) & _near("", "h_", percent))
+    return met.groupBy(F.col("node").alias("a")).agg(F.min(F.struct(_different("", "h_").alias("d"), F.col("h_node").alias("b"))).alias("x")).select("a", "x.b")
+
+
 def linked_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """node, root of the nodes that are linked with another.
 
-    Candidates share a band and agree in enough two-bit coordinates. Not all pairs of a bucket are verified, but every
-    pair of one is decided: (1) each node against the best of its buckets' smallest nodes; (2) of the buckets that still
-    hold several components, each node outside its bucket's largest component against its best partner of another
-    component; (3) all such pairs that are left. What is in one component already needs no further link.
+    Candidates share a band, agree in enough two-bit coordinates, and have enough shingles that other sets have too: of
+    a set with more than its share of shingles of its own, no link is possible. Not all pairs of a bucket are verified,
+    but every pair of one is decided: what is in one component already needs no further link. So nodes are first
+    verified against the heads of buckets of one, two and four bands, and components are formed after each; of the
+    buckets that then still hold several, each node outside its bucket's largest component is verified against its
+    nearest partner of another component, and then against all that are left.
     """
-    share = percent / 100
-    limit = most_different(share)
     reps = stage(signed.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "near-reps")
     rows = reps.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("node").alias("members")).where("members > 1").select(F.col("band").alias("of"))
-    in_bucket = rows.join(shared, F.col("band") == F.col("of")).select("band", "node")
-    sketch = reps.select(F.col("node").alias("at"), "sketch")
-    buckets = stage(in_bucket.join(sketch, F.col("node") == F.col("at")).select("band", "node", "sketch"), "near-buckets")
-    wanted = buckets.select("node").distinct().join(reps.select(F.col("node").alias("at"), "key"), F.col("node") == F.col("at")).select("node", "key")
-    wanted = stage(wanted, "near-wanted")
-    sets = stage(full_sets(docs, wanted, width), "near-sets")
+    wanted = rows.join(shared, F.col("band") == F.col("of")).select(F.col("node").alias("at")).distinct()
+    wanted = stage(reps.join(wanted, F.col("node") == F.col("at")).select(*reps.columns), "near-wanted")
+    sets = stage(full_sets(docs, wanted.select("node", "key"), width), "near-sets")
+    able = able_to_link(sets, percent).withColumnRenamed("node", "at")
+    bands = bands_for(percent / 100)
+    more = [F.array(*[F.xxhash64(*[F.get("bands", F.lit(i + j)) for j in range(k)]) for i in range(bands - k + 1)]).alias(name) for k, name in ((2, "pairs"), (4, "fours"))]
+    nodes = stage(wanted.join(able, F.col("node") == F.col("at")).select("node", "bands", *more, *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(LONGS)], "size", "common"), "near-nodes")
     unstage(reps, wanted)
 
-    heads = buckets.groupBy("band").agg(F.min(F.struct("node", "sketch")).alias("head")).select(F.col("band").alias("of"), "head.node", "head.sketch").toDF("of", "b", "other")
-    first = buckets.join(heads, F.col("band") == F.col("of")).where(F.col("node") != F.col("b")).withColumn("d", _different("sketch", "other")).where(F.col("d") <= limit)
-    pairs1 = stage(first.groupBy(F.col("node").alias("a")).agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b"), "near-pairs")
-    links = stage(confirmed(pairs1, sets, percent), "near-links")
-    roots = components(links)
-
-    def rooted(df: DataFrame, node: str, name: str, roots: DataFrame) -> DataFrame:
-        r = roots.select(F.col("node").alias("at"), "root")
-        return df.join(r, F.col(node) == F.col("at"), "left").withColumn(name, F.coalesce("root", node)).drop("at", "root")
+    links = tried = roots = None
+    for key in ("bands", "pairs", "fours"):
+        pairs = stage(best_heads(nodes, key, roots, percent), "near-pairs")
+        found = stage(confirmed(pairs, sets, percent), "near-links")
+        if links is not None:
+            found, pairs = stage(links.union(found), "near-links"), stage(tried.union(pairs), "near-pairs")
+            unstage(links, tried, roots)
+        links, tried = found, pairs
+        roots = components(links)
 
-    here = stage(rooted(buckets, "node", "mine", roots), "near-rooted")
+    here = stage(rooted(nodes, "node", "mine", roots).select("*", F.posexplode("bands").alias("place", "band")).drop("pairs", "fours"), "near-rooted")
     parts = here.groupBy("band", "mine").agg(F.count("node").alias("k")).groupBy("band").agg(F.max(F.struct("k", "mine")).alias("top"), F.count("mine").alias("roots"))
     mixed = parts.where("roots > 1").select(F.col("band").alias("of"), F.col("top.mine").alias("largest"))
-    outside = here.join(mixed, F.col("band") == F.col("of")).where(F.col("mine") != F.col("largest")).select(F.col("band").alias("of"), F.col("node").alias("a"), F.col("mine").alias("ra"), F.col("sketch").alias("s"))
-    cross = outside.join(here, F.col("band") == F.col("of")).where((F.col("ra") != F.col("mine")) & (_different("s", "sketch") <= limit))
-    cross = cross.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), _different("s", "sketch").alias("d")).distinct()
-    done = pairs1.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = stage(here.join(mixed, F.col("band") == F.col("of")).drop("of"), "near-mixed")
+    outside = prefixed(members.where("mine <> largest").drop("largest"), "o_")
+    # a pair of two outside nodes meets once, in the order of ids, and any pair in the first band of both only
+    once = (F.col("mine") == F.col("largest")) | (F.col("o_node") < F.col("node"))
+    for j in range(bands):
+        once = once & ((F.col("place") <= j) | (F.get("o_bands", F.lit(j)) != F.get("bands", F.lit(j))))
+    meet = (F.col("o_band") == F.col("band")) & (F.col("o_mine") != F.col("mine")) & _near("o_", "", percent) & once
+    cross = outside.join(members, meet).select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b"), _different("o_", "").alias("d"))
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     open_ = stage(cross.join(done, ["a", "b"], "left_anti"), "near-open")
-    unstage(here, buckets, pairs1)
+    unstage(here, members, tried, nodes)
     for best in (True, False):
         now = rooted(rooted(open_, "a", "ra", roots), "b", "rb", roots).where("ra <> rb")
         if best:
@@ -189,10 +241,10 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -
         now = stage(now.select("a", "b"), "near-pairs")
         if now.isEmpty():
             break
-        more = stage(confirmed(now, sets, percent), "near-links")
-        both = stage(links.union(more), "near-links")
+        found = stage(confirmed(now, sets, percent), "near-links")
+        both = stage(links.union(found), "near-links")
         rest = stage(open_.join(now, ["a", "b"], "left_anti"), "near-open")
-        unstage(links, more, now, roots, open_)
+        unstage(links, found, now, roots, open_)
         links, open_ = both, rest
         roots = components(links)
     unstage(sets, links, open_)
