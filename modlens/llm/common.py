@@ -91,7 +91,7 @@ def byte_chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, i
     """(first row, end row, their bytes joined, offsets into those) with about limit bytes each; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    wide = pc.fill_null(column.cast(pa.large_string()) if pa.types.is_string(column.type) else column, "" if pa.types.is_large_string(column.type) or pa.types.is_string(column.type) else b"")
+    wide = pc.fill_null(column.cast(pa.large_binary()), b"")
     n = len(wide)
     _, where, raw = wide.buffers()
     ends = np.frombuffer(where, np.int64)[wide.offset : wide.offset + n + 1]

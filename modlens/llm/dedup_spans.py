@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from modlens.llm.common import Rolling, U, byte_chunks, filter_slot, in_filter, key_filter, read, stage, unstage
 from modlens.llm.suffixes import common_prefixes, suffix_array
 
-GRAM = 64  # bytes of the gram whose smallest hash names a window's bucket
+#: Bytes of the gram whose smallest hash names a window's bucket: of documents, and of the pieces of buckets that hold
+#: several kinds. A long gram parts windows that share a passage by what stands beside it.
+GRAM, LONG_GRAM = 64, 320
 PIECES = 384  # of one suffix array, so that its text stays small
 TEXT = 256 << 10
 
@@ -88,26 +90,37 @@ def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def find_pieces(docs: DataFrame, width: int) -> DataFrame:
+def find_pieces(docs: DataFrame, width: int, gram: int) -> DataFrame:
+    """key, start, k, bucket, content of every piece of docs (key, raw)."""
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, ends in byte_chunks(b.column("text")):
-                row, start, k, bucket, content = cut_pieces(data, ends, width)
+            for lo, hi, data, ends in byte_chunks(b.column("raw")):
+                row, start, k, bucket, content = cut_pieces(data, ends, width, gram)
                 key = np.asarray(b.column("key"))[lo:hi][row]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(k.astype(np.int16)), pa.array(bucket.view(np.int64)), pa.array(content.view(np.int64))], names=["key", "start", "k", "bucket", "content"])
 
-    return docs.select("key", "text").mapInArrow(made, "key long, start int, k short, bucket long, content long")
+    return docs.select("key", "raw").mapInArrow(made, "key long, start int, k short, bucket long, content long")
+
+
+def known_kinds(pieces: DataFrame) -> DataFrame:
+    """The kinds (bucket, content) of buckets that hold two pieces or more: k, copies, kinds of the bucket, one place."""
+    kinds = stage(pieces.groupBy("bucket", "content", "k").agg(F.count("key").alias("copies"), F.min("key").alias("key"), F.min_by("start", "key").alias("start")), "span-kinds")
+    sizes = kinds.groupBy("bucket").agg(F.sum("copies").alias("all"), F.count("content").alias("kinds")).where(F.col("all") > 1).select(F.col("bucket").alias("b"), "kinds")
+    known = stage(kinds.join(sizes, F.col("bucket") == F.col("b")).select("bucket", "content", "k", "copies", "kinds", "key", "start"), "span-known")
+    unstage(kinds)
+    return known
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """bucket, content, block, many, piece for the wanted pieces. A fixed-size filter keeps other documents out of the shuffle."""
+    """bucket, content, block, many, piece for the wanted pieces of docs (key, raw). A fixed-size filter keeps other documents out of the shuffle."""
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "key"))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(in_filter(bits.value, np.asarray(b.column("slot"))))).drop_columns(["slot"])
 
-    texts = docs.select("key", filter_slot("key").alias("slot"), F.encode("text", "UTF-8").alias("raw")).mapInArrow(passed, "key long, raw binary")
+    texts = docs.select("key", filter_slot("key").alias("slot"), "raw").mapInArrow(passed, "key long, raw binary")
     each = wanted.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("start", "k", "bucket", "content", "block", "many")).alias("cuts"))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,20 +181,28 @@ def sort_buckets(pieces: DataFrame, width: int, parts: int) -> DataFrame:
     return laid.mapInArrow(sorted_, _FOUND)
 
 
-def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
-    """key, spans: for each document (key, text) the runs of window starts that occur elsewhere too."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = stage(find_pieces(docs, width), "span-pieces")
-    kinds = stage(pieces.groupBy("bucket", "content", "k").agg(F.count("key").alias("copies"), F.min("key").alias("key"), F.min_by("start", "key").alias("start")), "span-kinds")
-    sizes = kinds.groupBy("bucket").agg(F.sum("copies").alias("all"), F.count("content").alias("kinds")).where(F.col("all") > 1).select(F.col("bucket").alias("b"), "kinds")
-    known = stage(kinds.join(sizes, F.col("bucket") == F.col("b")).select("bucket", "content", "k", "copies", "kinds", "key", "start"), "span-known")
-    unstage(kinds)
-    # a piece with copies repeats as a whole; what a bucket of several kinds shares is for the suffix arrays
-    whole = known.where("copies > 1").select("bucket", "content", F.lit(0).alias("begin"), F.col("k").cast("int").alias("until"))
+def placed(pieces: DataFrame, marks: DataFrame) -> DataFrame:
+    """key, a, b: the marked runs of windows (bucket, content, begin, until) at all places of their pieces."""
+    m = marks.groupBy(F.col("bucket").alias("mb"), F.col("content").alias("mc")).agg(F.collect_set(F.struct("begin", "until")).alias("marks"))
+    at = pieces.join(m, (F.col("bucket") == F.col("mb")) & (F.col("content") == F.col("mc")))
+    shifted = F.transform("marks", lambda x: F.struct((F.col("start") + x["begin"]).alias("a"), (F.col("start") + x["until"]).alias("b")))
+    return at.select("key", F.explode(shifted).alias("s")).select("key", "s.a", "s.b")
+
+
+def whole(known: DataFrame) -> DataFrame:
+    """A piece with copies repeats as a whole."""
+    return known.where("copies > 1").select("bucket", "content", F.lit(0).alias("begin"), F.col("k").cast("int").alias("until"))
+
+
+def inside_pieces(texts: DataFrame, width: int) -> DataFrame:
+    """key, a, b: the runs of windows that two of these texts (key, raw) share, by suffix arrays over buckets of long grams."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = stage(find_pieces(texts, width, LONG_GRAM), "span-inner")
+    known = known_kinds(pieces)
     blocks = F.ceil(F.col("kinds") / F.lit(float(PIECES)))
     wanted = known.where("kinds > 1").select("bucket", "content", "key", "start", "k", (F.col("kinds") > PIECES).alias("many"), F.pmod(F.xxhash64("content"), blocks).cast("int").alias("block"))
     wanted = stage(wanted, "span-wanted")
-    held = stage(texts_of(docs, wanted, width), "span-texts")
+    held = stage(texts_of(texts, wanted, width), "span-texts")
     found = stage(sort_buckets(held, width, parts), "span-found")
     unstage(held, wanted)
     here = found.where("window IS NULL").select("bucket", "content", "begin", "until")
@@ -189,10 +210,21 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
     single = found.where("window IS NOT NULL")
     across = single.groupBy("bucket", "window").agg(F.count("content").alias("n")).where("n > 1").select(F.col("bucket").alias("ob"), F.col("window").alias("ow"))
     across = single.where("until > begin").join(across, (F.col("bucket") == F.col("ob")) & (F.col("window") == F.col("ow"))).select("bucket", "content", "begin", "until")
-    marks = whole.union(here).union(across).groupBy(F.col("bucket").alias("mb"), F.col("content").alias("mc")).agg(F.collect_set(F.struct("begin", "until")).alias("marks"))
-    at = pieces.join(marks, (F.col("bucket") == F.col("mb")) & (F.col("content") == F.col("mc"))).select("key", F.explode(F.transform("marks", lambda m: F.struct((F.col("start") + m["begin"]).alias("a"), (F.col("start") + m["until"]).alias("b")))).alias("s"))
-    spans = stage(at.groupBy("key").agg(F.collect_set("s").alias("spans")), "span-spans")
+    out = stage(placed(pieces, whole(known).union(here).union(across)), "span-inside")
     unstage(pieces, known, found)
+    return out
+
+
+def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
+    """key, spans: for each document (key, raw) the runs of window starts that occur elsewhere too."""
+    pieces = stage(find_pieces(docs, width, GRAM), "span-pieces")
+    known = known_kinds(pieces)
+    wanted = stage(known.where("kinds > 1").select("bucket", "content", "key", "start", "k", F.lit(False).alias("many"), F.lit(0).alias("block")), "span-wanted")
+    held = stage(texts_of(docs, wanted, width).select("bucket", "content", F.xxhash64("bucket", "content").alias("key"), F.col("piece").alias("raw")), "span-pieces")
+    inside = inside_pieces(held.select("key", "raw"), width)
+    inside = inside.join(wanted.select("bucket", "content", F.xxhash64("bucket", "content").alias("of")), F.col("key") == F.col("of")).select("bucket", "content", F.col("a").alias("begin"), F.col("b").alias("until"))
+    spans = stage(placed(pieces, whole(known).union(inside)).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "span-spans")
+    unstage(pieces, known, wanted, held)
     return spans
 
 
@@ -218,12 +250,12 @@ def remove_repeats(docs: DataFrame, width: int = 400, keep_text: bool = False, c
     each, so both lose what they share. An empty table gives no rows.
 
     Windows of `width` bytes are dealt out by the gram of least hash in them, so equal windows meet, and neighbouring
-    windows travel as one piece. Equal pieces are counted, not moved. Pieces that differ within a bucket are sorted in
-    suffix arrays of a bounded text; a bucket too large for one is split into blocks, and the blocks' distinct windows
-    are matched by a hash.
+    windows travel as one piece. Equal pieces are counted, not moved. Of a bucket whose pieces differ, one of each kind is
+    dealt out again by a longer gram; what then still differs is sorted in suffix arrays of a bounded text. A bucket too
+    large for one is split into blocks, and the blocks' distinct windows are matched by a hash.
     """
-    mine = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.xxhash64("doc_id", "text").alias("key"), "text")
-    spans = repeated_spans(mine.select("key", "text"), width)
+    mine = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.xxhash64("doc_id", "text").alias("key"), F.encode("text", "UTF-8").alias("raw"))
+    spans = repeated_spans(mine.select("key", "raw"), width)
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(spans, "key"))
     n, names = len(carried), [f"c{i}" for i in range(len(carried))]
 
@@ -253,7 +285,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, keep_text: bool = False, c
         for b in batches:
             yield result(b.columns[:n], [cut(r.as_py(), s.as_py()) for r, s in zip(b.column("raw"), b.column("spans"))])
 
-    raw = mine.select(*names, "key", filter_slot("key").alias("slot"), F.encode("text", "UTF-8").alias("raw"))
+    raw = mine.select(*names, "key", filter_slot("key").alias("slot"), "raw")
     ddl = ", ".join(f"{c} {raw.schema[c].dataType.simpleString()}" for c in names)
     clear = raw.mapInArrow(without, f"{ddl}, {_CUT}")
     rest = raw.mapInArrow(maybe, f"{ddl}, key long, raw binary").join(spans.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
