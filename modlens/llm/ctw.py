@@ -211,8 +211,8 @@ def tree_values(counts: DataFrame) -> DataFrame:
             add = lambda x: pa.array(np.bincount(inverse, x, len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), add(level.n0), add(level.n1), add(level.log_weighted)], names=["node", "n0", "n1", "below"])
 
-    rows = laid.mapInArrow(up, "node long, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toPandas()
-    top = counts.sparkSession.sparkContext.broadcast(upper_levels(rows[["node", "n0", "n1", "below"]].to_numpy(float)))
+    rows = laid.mapInArrow(up, "node long, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()
+    top = counts.sparkSession.sparkContext.broadcast(upper_levels(np.column_stack([rows.column(c).to_numpy().astype(float) for c in ("node", "n0", "n1", "below")])))
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t, n in whole_groups(batches):
@@ -256,9 +256,8 @@ def hot_table(values: DataFrame, most: int) -> Hot:
         if total > most:
             break
         least = r["n"]
-    p = values.where(F.col("all_n") >= least).select("key", "value", "all_n").toPandas() if sizes else None
-    k = p["key"].to_numpy(np.int64).view(np.uint64) if p is not None else np.zeros(0, np.uint64)
-    return Hot(k, p["value"].to_numpy(float) if p is not None else np.zeros(0), p["all_n"].to_numpy() if p is not None else np.zeros(0), most)
+    got = values.where(F.col("all_n") >= least).select("key", "value", "all_n").toArrow()
+    return Hot(got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy(), got.column("all_n").to_numpy(), most)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:

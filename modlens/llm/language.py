@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -135,7 +134,7 @@ def fit_languages(docs: DataFrame, learn: Column, bound: int) -> dict[str, Ppm]:
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k), pa.string()), "gram": pa.array(k.astype(np.int64)), "n": pa.array(c.astype(np.int64))})
 
     rows = known.where(part < min(1.0, bound / max(n, 1))).mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table: pd.DataFrame = rows.toPandas()
+    table = rows.toArrow().to_pandas()
     return {lang: Ppm(p["gram"].to_numpy().astype(np.uint64), p["n"].to_numpy(float)) for lang, p in sorted(table.groupby("lang"))}
 
 

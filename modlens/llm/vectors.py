@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import U, read, stage, unstage
+from modlens.llm.common import read, stage, unstage
 from modlens.llm.graph import components
 
 BITS, TABLES = 64, 4
@@ -69,10 +69,9 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, most_bits: int = 16, s
     models = {}
     for dim, n in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("node").alias("n")).collect()):
         part = F.pmod(F.xxhash64(F.lit("itq"), F.col("node")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        got = classes.where((F.col("dim") == dim) & (part < min(1.0, sample / n))).select("node", "embedding").toPandas().sort_values("node")
+        got = classes.where((F.col("dim") == dim) & (part < min(1.0, sample / n))).select("node", "embedding").toArrow().sort_by("node")
         if len(got):
-            x = np.stack(got["embedding"])
-            models[dim] = Quantiser().fit(x / np.linalg.norm(x, axis=1, keepdims=True))
+            models[dim] = Quantiser().fit(unit(got.column("embedding").combine_chunks()))
         else:
             models[dim] = Quantiser().fit(np.eye(dim))
     sent = spark.sparkContext.broadcast(models)
