@@ -110,7 +110,7 @@ def export(t: Tables, most: int = 1000) -> DataFrame:
     texts = t.texts.select(F.col("hash_key").alias("h"), "text")
     scores = t.reviews.select(F.col("id").alias("rid"), "score")
     out = jobs.join(tg, (F.col("id") == F.col("job_id")) & (F.col("round") == F.col("current_round")), "left").join(texts, F.col("hash_key") == F.col("h"), "left").join(scores, F.col("review_id") == F.col("rid"), "left")
-    out = out.select("id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "user_id", "run_mode", "target_order", "kind", F.coalesce("resolution", F.lit("")).alias("resolution"), F.coalesce(F.format_string("%.4f", "score"), F.lit("")).alias("score"), csv_guard(F.coalesce("text", F.lit(""))).alias("text"))
+    out = out.select("id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "user_id", "run_mode", "target_order", "kind", F.coalesce("resolution", F.lit("")).alias("resolution"), F.when(F.col("score").isNotNull(), F.format_string("%.4f", "score")).otherwise("").alias("score"), csv_guard(F.coalesce("text", F.lit(""))).alias("text"))
     return out.orderBy(F.desc("id"), "target_order", "kind", "text", "resolution").limit(most)
 
 

@@ -27,7 +27,7 @@ def export_rows(df: DataFrame, score: str = "score", times: tuple[str, ...] = ("
         if name in times:
             c = rfc3339(c)
         elif name == score:
-            c = F.format_string("%.4f", c)
+            c = F.when(c.isNotNull(), F.format_string("%.4f", c))
         elif kind == "string":
             c = csv_guard(c)
         out.append(F.coalesce(c.cast("string"), F.lit("")).alias(name))
