@@ -34,7 +34,7 @@ def grams(data: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> tuple[np.nd
     out = text.astype(np.uint64)
     for k in range(1, depth + 1):
         before = np.full(len(text), END, np.uint64)
-        before[k:] = text[: len(text) - k]
+        before[k:] = text[: max(0, len(text) - k)]
         before[at < k] = END
         out |= before << U(8 * (depth + 1 - k))
     return out, offsets

@@ -21,7 +21,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarr
     at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     for k in range(1, order + 1):
         before = np.zeros(len(data), np.uint64)
-        before[k:] = data[: len(data) - k]
+        before[k:] = data[: max(0, len(data) - k)]
         before[at < k] = 0
         out |= before << U(8 * k)
     return out

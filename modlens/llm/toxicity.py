@@ -110,7 +110,7 @@ def fit_toxicity(sample: DataFrame, least_docs: int = 3, least_z: float = 4.0, m
         return {}, fm
     counts = held.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("y").alias("k1"), F.count("y").alias("k"))
     p, p1, p0 = F.col("k") / F.lit(float(n)), F.col("k1") / F.lit(float(n1)), (F.col("k") - F.col("k1")) / F.lit(float(n0))
-    z = (p1 - p0) / F.sqrt(p * (1 - p) * F.lit(1 / n0 + 1 / n1))
+    z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * F.lit(1 / n0 + 1 / n1))
     kept = counts.where(F.col("k") >= least_docs).withColumn("z", F.abs(z)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "t").limit(most_terms).select("t").collect()
     rows = {r["t"]: i for i, r in enumerate(kept)}
 
