@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +49,17 @@ def sketches(shingles: np.ndarray, sizes: np.ndarray, coords: int = COORDS) -> n
     out = np.full((len(sizes), coords), empty, np.uint64)
     flat = out.reshape(-1)
     row, h = np.repeat(np.arange(len(sizes)), sizes), shingles
+    left = np.flatnonzero(sizes)
     for i in range(2 * coords):
         if not len(h):
             break
         v = mix(h + U((i + 1) * 0x9E3779B97F4A7C15 & M))
         bin_ = (v & U(coords - 1)).astype(np.int64) if i < coords else np.full(len(h), i - coords)
         np.minimum.at(flat, row * coords + bin_, (U(i) << U(48)) | (v >> U(16)))
-        open_ = (out == empty).any(1)
-        if not open_[row].all():
+        if i % 4 == 3:  # values only grow by rounds, so a row that stays longer keeps its sketch
+            open_ = np.zeros(len(sizes), bool)
+            open_[left] = (out[left] == empty).any(1)
+            left = np.flatnonzero(open_)
             stay = open_[row]
             row, h = row[stay], h[stay]
     return out
@@ -209,15 +213,13 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -
     nodes = stage(wanted.join(able, F.col("node") == F.col("at")).select("node", "bands", *more, *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(LONGS)], "size", "common"), "near-nodes")
     unstage(reps, wanted)
 
-    links = tried = roots = None
+    links, tried, roots = [], [], None
     for key in ("bands", "pairs", "fours"):
-        pairs = stage(best_heads(nodes, key, roots, percent), "near-pairs")
-        found = stage(confirmed(pairs, sets, percent), "near-links")
-        if links is not None:
-            found, pairs = stage(links.union(found), "near-links"), stage(tried.union(pairs), "near-pairs")
-            unstage(links, tried, roots)
-        links, tried = found, pairs
-        roots = components(links)
+        tried.append(stage(best_heads(nodes, key, roots, percent), "near-pairs"))
+        links.append(stage(confirmed(tried[-1], sets, percent), "near-links"))
+        if roots is not None:
+            unstage(roots)
+        roots = components(reduce(DataFrame.union, links))
 
     here = stage(rooted(nodes, "node", "mine", roots).select("*", F.posexplode("bands").alias("place", "band")).drop("pairs", "fours"), "near-rooted")
     parts = here.groupBy("band", "mine").agg(F.count("node").alias("k")).groupBy("band").agg(F.max(F.struct("k", "mine")).alias("top"), F.count("mine").alias("roots"))
@@ -230,9 +232,9 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -
         once = once & ((F.col("place") <= j) | (F.get("o_bands", F.lit(j)) != F.get("bands", F.lit(j))))
     meet = (F.col("o_band") == F.col("band")) & (F.col("o_mine") != F.col("mine")) & _near("o_", "", percent) & once
     cross = outside.join(members, meet).select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b"), _different("o_", "").alias("d"))
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done = reduce(DataFrame.union, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     open_ = stage(cross.join(done, ["a", "b"], "left_anti"), "near-open")
-    unstage(here, members, tried, nodes)
+    unstage(here, members, *tried, nodes)
     for best in (True, False):
         now = rooted(rooted(open_, "a", "ra", roots), "b", "rb", roots).where("ra <> rb")
         if best:
@@ -241,13 +243,12 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -
         now = stage(now.select("a", "b"), "near-pairs")
         if now.isEmpty():
             break
-        found = stage(confirmed(now, sets, percent), "near-links")
-        both = stage(links.union(found), "near-links")
+        links.append(stage(confirmed(now, sets, percent), "near-links"))
         rest = stage(open_.join(now, ["a", "b"], "left_anti"), "near-open")
-        unstage(links, found, now, roots, open_)
-        links, open_ = both, rest
-        roots = components(links)
-    unstage(sets, links, open_)
+        unstage(now, roots, open_)
+        open_ = rest
+        roots = components(reduce(DataFrame.union, links))
+    unstage(sets, *links, open_)
     return roots
 
 
