@@ -198,8 +198,8 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -
     a set with more than its share of shingles of its own, no link is possible. Not all pairs of a bucket are verified,
     but every pair of one is decided: what is in one component already needs no further link. So nodes are first
     verified against the heads of buckets of one, two and four bands, and components are formed after each; of the
-    buckets that then still hold several, each node outside its bucket's largest component is verified against its
-    nearest partner of another component, and then against all that are left.
+    buckets that then still hold several, each node outside its bucket's largest component is verified against every
+    partner of another component that it hasn't met yet.
     """
     reps = stage(signed.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "near-reps")
     rows = reps.select("node", F.explode("bands").alias("band"))
@@ -231,22 +231,13 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -
     for j in range(bands):
         once = once & ((F.col("place") <= j) | (F.get("o_bands", F.lit(j)) != F.get("bands", F.lit(j))))
     meet = (F.col("o_band") == F.col("band")) & (F.col("o_mine") != F.col("mine")) & _near("o_", "", percent) & once
-    cross = outside.join(members, meet).select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b"), _different("o_", "").alias("d"))
+    cross = outside.join(members, meet).select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b"))
     done = reduce(DataFrame.union, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     open_ = stage(cross.join(done, ["a", "b"], "left_anti"), "near-open")
     unstage(here, members, *tried, nodes)
-    for best in (True, False):
-        now = rooted(rooted(open_, "a", "ra", roots), "b", "rb", roots).where("ra <> rb")
-        if best:
-            each = now.select("a", "b", "d", F.col("a").alias("n")).union(now.select("a", "b", "d", "b"))
-            now = each.groupBy("n").agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-        now = stage(now.select("a", "b"), "near-pairs")
-        if now.isEmpty():
-            break
-        links.append(stage(confirmed(now, sets, percent), "near-links"))
-        rest = stage(open_.join(now, ["a", "b"], "left_anti"), "near-open")
-        unstage(now, roots, open_)
-        open_ = rest
+    if not open_.isEmpty():
+        links.append(stage(confirmed(open_, sets, percent), "near-links"))
+        unstage(roots)
         roots = components(reduce(DataFrame.union, links))
     unstage(sets, *links, open_)
     return roots
