@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modlens.functions import conversation, decisions, protocol, text
@@ -167,8 +167,13 @@ def _enforced(t: Tables) -> DataFrame:
 
 def _breakers(t: Tables) -> DataFrame:
     marks = t.targets.where("kind = 'instruction' AND decision = 'block'").join(t.jobs.select("id", "user_id"), F.col("job_id") == F.col("id"))
-    rows = marks.select("hash_key", "user_id", "job_id", F.lit("").alias("event")).distinct()
-    return folds.run_batch(rows, "hash_key", ["job_id", "user_id"], folds.break_circuit, "hash_key long, user_id long, job_id long, outcome string, status string, users long")
+    rows = marks.select("hash_key", "user_id", "job_id").distinct()
+    # without trust and untrust events between the marks, the fold is a running count of first marks
+    rows = rows.withColumn("seen", F.row_number().over(Window.partitionBy("hash_key", "user_id").orderBy("job_id")))
+    so_far = Window.partitionBy("hash_key").orderBy("job_id", "user_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("users", F.sum((F.col("seen") == 1).cast("long")).over(so_far))
+    outcome = F.when(F.col("seen") > 1, "repeated").when(F.col("users") >= 2, "suppressed").otherwise("countable")
+    return rows.select("hash_key", "user_id", "job_id", outcome.alias("outcome"), F.when(F.col("users") >= 2, "tripped").otherwise("").alias("status"), "users")
 
 
 def _throttled(t: Tables) -> DataFrame:
