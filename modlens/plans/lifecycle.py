@@ -118,14 +118,13 @@ def target_categories(t: Tables, review: float = 0.02, block: float = 0.05) -> D
 def policy_replay(t: Tables) -> DataFrame:
     """Each sample scored by each enabled node with a fixed scorer, and the nodes' verdict on it.
 
-    The nodes are a configuration list; its size is checked before it is sent to all executors.
+    Equal samples are counted before they meet the nodes; votes are added up as they are made, in the same task.
     """
-    nodes = [r["model_id"] for r in t.nodes.where("enabled").select("model_id").orderBy("model_id").limit(65).collect()]
-    if len(nodes) > 64:
-        nodes = nodes[:64]  # a policy runs on 64 nodes at the most
-    scored = t.samples.select("id", "expected", F.explode(F.array(*[F.lit(n) for n in nodes]) if nodes else F.array().cast("array<bigint>")).alias("model_id"))
+    samples = t.samples.groupBy("id", "expected").agg(F.count(F.lit(1)).alias("copies"))
+    scored = samples.crossJoin(t.nodes.where("enabled").select("model_id"))
     vote = classify(((F.col("id") * 31 + F.col("model_id") * 17) % 100) / 100.0, 0.3, 0.6)
-    by = scored.withColumn("v", vote).groupBy("id", "expected").agg(F.count_if(F.col("v") == "block").alias("b"), F.count_if(F.col("v") == "review").alias("r"), F.count(F.lit(1)).alias("n"))
+    votes = lambda v: F.sum(F.when(F.col("v") == v, F.col("copies")).otherwise(0))
+    by = scored.withColumn("v", vote).groupBy("id", "expected").agg(votes("block").alias("b"), votes("review").alias("r"), F.sum("copies").alias("n"))
     return by.select("id", "expected", vote_outcome("majority_block", F.col("b"), F.col("r"), F.lit(0), F.lit(0), F.col("n"))["decision"].alias("decision"))
 
 
