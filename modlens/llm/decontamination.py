@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from modlens.llm.common import SPACE, U, byte_chunks, read, stage
 
 Q = 8  # bytes of a gram
-SEGMENT, STEP = 100, 50
+SEGMENT = 100  # bytes of a window
 SHORTEST = 24  # bytes; shorter items are no evidence of a leak
 #: Bytes of benchmark text that one pass over the documents looks for: the bound of what is broadcast.
 BLOCK = 4 << 20
@@ -43,30 +43,26 @@ def grams(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(data, (n, Q), (1, 1)).copy().view("<u8").reshape(-1)
 
 
-class Segments:
-    """Overlapping pieces of benchmark items, and an index of their grams."""
+class Items:
+    """Benchmark items and an index of their grams; a window is any SEGMENT bytes of an item, or all of a shorter one."""
 
     def __init__(self, items: list[tuple[object, bytes]], share: float = 0.1):
-        self.item: list = []
-        self.text: list[np.ndarray] = []
-        for item, raw in items:
-            n = len(raw)
-            if n < SHORTEST:
-                continue
-            last = max(0, n - SEGMENT)
-            for a in sorted({*range(0, last, STEP), last}):
-                self.item.append(item)
-                self.text.append(np.frombuffer(raw[a : a + SEGMENT], np.uint8))
-        self.length = np.array([len(t) for t in self.text], np.int64)
-        # With e edits a segment of n bytes keeps n + 1 - Q - Q * e of its grams at least. The budget is a share of the
+        items = [(i, raw) for i, raw in items if len(raw) >= SHORTEST]
+        self.item = [i for i, _ in items]
+        self.text = np.frombuffer(b"".join(raw for _, raw in items), np.uint8)
+        self.length = np.array([len(raw) for _, raw in items], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.size = np.minimum(self.length, SEGMENT)
+        # With e edits a window of n bytes keeps n + 1 - Q - Q * e of its grams at least. The budget is a share of the
         # length, but no more than leaves 4 grams.
-        self.edits = np.maximum(0, np.minimum((share * self.length).astype(np.int64), (self.length + 1 - Q - 4) // Q))
-        self.least = self.length + 1 - Q - Q * self.edits
-        g = [grams(t) for t in self.text]
-        count = np.array([len(x) for x in g], np.int64)
-        keys = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(g)), count)
-        place = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+        self.edits = np.maximum(0, np.minimum((share * self.size).astype(np.int64), (self.size + 1 - Q - 4) // Q))
+        self.least = self.size + 1 - Q - Q * self.edits
+        #: Added to diagonals, so that none is negative and no band before the first is either.
+        self.shift = int(self.length.max(initial=0)) + SEGMENT
+        count = np.maximum(0, self.length + 1 - Q)
+        owner = np.repeat(np.arange(len(items)), count)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        keys = grams(self.text)[self.start[owner] + place]
         o = np.argsort(keys, kind="stable")
         self.owner, self.place = owner[o], place[o]
         self.keys, self.first = np.unique(keys[o], return_index=True)
@@ -79,7 +75,7 @@ class Segments:
         return ((keys * U(0x9E3779B97F4A7C15)) >> U(44)).astype(np.int64)
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, segment and place in it of every gram that data shares with a segment."""
+        """Position, item and place in it of every gram that data shares with an item."""
         g = grams(data)
         at = np.flatnonzero(self.maybe[self.slot(g)])
         if not len(at) or not len(self.keys):
@@ -92,64 +88,93 @@ class Segments:
         post = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return pos, self.owner[post], self.place[post]
 
-    def regions(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, segment and first diagonal of the bands that hold as many shared grams as the edit budget leaves.
+    def windows(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, item, first diagonal, place in the item and fewest edits thinkable of every window of which a band holds
+        as many grams as the edit budget leaves.
 
-        A band of segment s starts at a multiple of e + 1 and is 2 * (e + 1) diagonals wide, so an alignment of e edits,
-        which touches e + 1 neighbouring diagonals at the most, lies in one band as a whole.
+        A band starts at a multiple of e + 1 and is 2 * (e + 1) diagonals wide, so an alignment of e edits, which
+        touches e + 1 neighbouring diagonals at the most, lies in one band as a whole.
         """
-        pos, seg, place = self.hits(data)
+        pos, item, place = self.hits(data)
         row = np.searchsorted(ends, pos, "right") - 1
         inside = pos + Q <= ends[row + 1]
-        pos, seg, place, row = pos[inside], seg[inside], place[inside], row[inside]
-        step = self.edits[seg] + 1
-        band = (pos - place + SEGMENT) // step  # SEGMENT: none is negative
-        wide = np.int64(len(data) + 2 * SEGMENT + 2)
-        key = seg * wide + band
-        key = np.concatenate([key, key - 1])
-        row = np.concatenate([row, row])
-        o = np.lexsort((row, key))
-        key, row = key[o], row[o]
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(key)))
-        key, row = key[new], row[new]
-        seg, band = key // wide, key % wide
-        # the band before the first of a segment would wrap to another segment; no hit lies in it alone
-        full = (count >= self.least[seg]) & (band < wide - 1)
-        seg, band, row = seg[full], band[full], row[full]
-        return row, seg, band * (self.edits[seg] + 1) - SEGMENT
-
-    def align(self, data: np.ndarray, ends: np.ndarray, row: np.ndarray, seg: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """The least edits that turn each segment into a substring of its row, with all steps within the band."""
+        pos, item, place, row = pos[inside], item[inside], place[inside], row[inside]
+        band = (pos - place + self.shift) // (self.edits[item] + 1)
+        key = item * np.int64(len(data) + 2 * self.shift) + band
+        key, row, item = np.concatenate([key, key - 1]), np.concatenate([row, row]), np.concatenate([item, item])
+        band, place = np.concatenate([band, band - 1]), np.concatenate([place, place])
+        o = np.lexsort((place, row, key))
+        key, row, item, band, place = key[o], row[o], item[o], band[o], place[o]
+        new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))[: len(key)]
+        once = new | np.append(True, place[1:] != place[:-1])[: len(key)]
+        new, row, item, band, place = new[once], row[once], item[once], band[once], place[once]
+        group = np.cumsum(new) - 1
+        # The least grams from the i-th on lie in the windows from lo to hi; neither falls within a group, so what the
+        # gram before has given is left out.
+        i = np.arange(len(place))
+        j = i + self.least[item] - 1
+        full = j < len(place)
+        i, j = i[full], j[full]
+        i, j = i[group[i] == group[j]], j[group[i] == group[j]]
+        span = self.size[item[i]] - Q
+        lo = np.maximum(place[j] - span, 0)
+        hi = np.minimum(place[i], (self.length - self.size)[item[i]])
+        same = np.append(False, group[i][1:] == group[i][:-1])[: len(i)]
+        lo[1:] = np.where(same[1:], np.maximum(lo[1:], hi[:-1] + 1), lo[1:])
+        n = np.maximum(0, hi - lo + 1)
+        at = np.repeat(i, n)
+        where = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.int64(self.shift + 1)
+        seen, of = group * wide + place, group[at] * wide + where
+        grams_of = self.size[item[at]] + 1 - Q
+        found = np.searchsorted(seen, of + grams_of - 1, "right") - np.searchsorted(seen, of)
+        return row[at], item[at], band[at] * (self.edits[item[at]] + 1) - self.shift, where, -((found - grams_of) // Q)
+
+    def align(self, data: np.ndarray, ends: np.ndarray, row: np.ndarray, item: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The least edits that turn each window into a substring of its row, with all steps within the band."""
         out = np.full(len(row), SEGMENT, np.int64)
-        text = data.astype(np.int16)
-        for n, e in sorted({(int(self.length[s]), int(self.edits[s])) for s in seg}):
-            at = np.flatnonzero((self.length[seg] == n) & (self.edits[seg] == e))
+        for n, e in sorted(set(zip(self.size[item].tolist(), self.edits[item].tolist()))):
+            at = np.flatnonzero((self.size[item] == n) & (self.edits[item] == e))
             for part in np.array_split(at, len(at) // 4096 + 1):
                 if not len(part):
                     continue
                 wide = 2 * (e + 1)
-                words = np.stack([self.text[s] for s in seg[part]]).astype(np.int16)
-                lo, hi = ends[row[part]][:, None], ends[row[part] + 1][:, None]
-                where = diagonal[part][:, None] + np.arange(wide)[None, :]
-                slope = np.arange(wide)
-                cost = np.zeros((len(part), wide), np.int64)
+                words = self.text[(self.start[item[part]] + place[part])[:, None] + np.arange(n)[None, :]].astype(np.int16)
+                p = (diagonal[part] + place[part])[:, None] + np.arange(n + wide - 1)[None, :]
+                real = (p >= ends[row[part]][:, None]) & (p < ends[row[part] + 1][:, None])
+                text = np.where(real, data[np.clip(p, 0, len(data) - 1)].astype(np.int16), np.int16(-1))
+                slope = np.arange(wide, dtype=np.int16)
+                cost = np.zeros((len(part), wide), np.int16)
                 for i in range(n):
-                    p = where + i
-                    real = (p >= lo) & (p < hi)
-                    c = np.where(real, text[np.clip(p, 0, len(text) - 1)], -1)
-                    t = cost + (c != words[:, i][:, None])
-                    t[:, :-1] = np.minimum(t[:, :-1], cost[:, 1:] + 1)
+                    t = cost + (text[:, i : i + wide] != words[:, i][:, None])
+                    t[:, :-1] = np.minimum(t[:, :-1], cost[:, 1:] + np.int16(1))
                     cost = np.minimum.accumulate(t - slope, axis=1) + slope
                 out[part] = cost.min(1)
         return out
 
+    def found(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and fewest edits of every item of which a row holds a window within its budget.
+
+        Of each row and item the most promising window is aligned first, then those that could still be better.
+        """
+        row, item, diagonal, place, bound = self.windows(data, ends)
+        pair = row * np.int64(len(self.item) + 1) + item
+        o = np.lexsort((bound, pair))
+        row, item, diagonal, place, bound, pair = row[o], item[o], diagonal[o], place[o], bound[o], pair[o]
+        new = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
+        first, of = np.flatnonzero(new), np.cumsum(new) - 1
+        best = self.align(data, ends, row[first], item[first], diagonal[first], place[first])
+        more = np.flatnonzero(~new & (bound < best[of]))
+        np.minimum.at(best, of[more], self.align(data, ends, row[more], item[more], diagonal[more], place[more]))
+        ok = best <= self.edits[item[first]]
+        return row[first][ok], item[first][ok], best[ok]
+
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, share: float = 0.1) -> DataFrame:
     """doc_id, row, item_id, edits: the pairs of a document and a benchmark item of which it holds a passage.
 
-    A passage is a stretch of SEGMENT bytes of the item, or all of a shorter one, that the whole document holds with at
-    most `share` of its length in edits, in lower case and with white space squeezed; edits is the fewest found. Items
+    A passage is a stretch of SEGMENT bytes from anywhere in the item, or all of a shorter one, that the document holds
+    with at most `share` of its length in edits, in lower case and with white space squeezed; edits is the fewest. Items
     of less than SHORTEST bytes and null texts aren't looked for. row is a hash of doc_id and text, as ids may be null
     or repeat; each repeated row is reported. No rows if either table is empty.
 
@@ -167,20 +192,18 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, share: float = 0.1) ->
     for part in range(parts):
         rows = sorted(item.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == part).collect(), key=lambda r: (str(r["item_id"]), r["t"]))
         texts = normal(pa.array([r["t"] for r in rows], pa.string())).to_pylist()
-        segments = spark.sparkContext.broadcast(Segments([(r["item_id"], t.encode()) for r, t in zip(rows, texts)], share))
+        index = spark.sparkContext.broadcast(Items([(r["item_id"], t.encode()) for r, t in zip(rows, texts)], share))
 
-        def found(batches: Iterator[pa.RecordBatch], segments=segments) -> Iterator[pa.RecordBatch]:
-            s = segments.value
+        def found(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            s = index.value
             for b in batches:
                 for lo, hi, data, ends in byte_chunks(pc.utf8_lower(b.column("text")), 2 << 20):
                     data, ends = squeeze(data, ends)
-                    row, seg, diagonal = s.regions(data, ends)
-                    edits = s.align(data, ends, row, seg, diagonal)
-                    best: dict[tuple[int, int], int] = {}
-                    for r, g, e in zip(row.tolist(), seg.tolist(), edits.tolist()):
-                        if e <= s.edits[g]:
-                            k = (r, s.item[g])
-                            best[k] = min(e, best.get(k, e))
+                    row, item, edits = s.found(data, ends)
+                    best: dict[tuple[int, object], int] = {}
+                    for r, g, e in zip(row.tolist(), item.tolist(), edits.tolist()):
+                        k = (r, s.item[g])
+                        best[k] = min(e, best.get(k, e))
                     at = pa.array([lo + r for r, _ in best], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [b.column("doc_id").take(at), b.column("row").take(at), pa.array([i for _, i in best], b_kind), pa.array(list(best.values()), pa.int64())], names=["doc_id", "row", "item_id", "edits"]
