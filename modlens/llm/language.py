@@ -118,11 +118,12 @@ class Coder:
 
 
 def fit_languages(docs: DataFrame, learn: Column, bound: int) -> dict[str, Ppm]:
-    """A tree for each language, from about `bound` documents with a language where `learn` holds, taken by a hash of
-    doc_id; whole texts count. Bytes are counted in Spark; the bound on documents bounds the trees."""
+    """A tree for each language, from about `bound` of its documents where `learn` holds, or all if there are fewer, taken
+    by a hash of doc_id; whole texts count. Bytes are counted in Spark; the bound on documents bounds each tree."""
     known = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     part = F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    n = docs.select("lang").where(F.col("lang").isNotNull()).count()
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("in_lang"))
+    sample = known.join(F.broadcast(sizes), "lang").where(part < F.lit(float(bound)) / F.col("in_lang")).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,7 +134,7 @@ def fit_languages(docs: DataFrame, learn: Column, bound: int) -> dict[str, Ppm]:
                     k, c = np.unique(keys[np.repeat(langs[lo:hi] == lang, per)], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k), pa.string()), "gram": pa.array(k.astype(np.int64)), "n": pa.array(c.astype(np.int64))})
 
-    rows = known.where(part < min(1.0, bound / max(n, 1))).mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = rows.toArrow().to_pandas()
     return {lang: Ppm(p["gram"].to_numpy().astype(np.uint64), p["n"].to_numpy(float)) for lang, p in sorted(table.groupby("lang"))}
 
@@ -170,9 +171,9 @@ def identify(docs: DataFrame, models: dict[str, Ppm]) -> DataFrame:
 
 
 def op7_language(spark, sf_dir, bound: int = 4_000):
-    """doc_id, held_out, lang_pred, score of every document. Learns from about `bound` documents that aren't held out.
-    A null id is held out; without any document to learn from, every language is und; other columns are ignored;
-    repeated rows are predicted alike; an empty table gives no rows."""
+    """doc_id, held_out, lang_pred, score of every document. Learns from about `bound` documents of each language that
+    aren't held out. A null id is held out; without any document to learn from, every language is und; other columns are
+    ignored; repeated rows are predicted alike; an empty table gives no rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     models = fit_languages(docs, F.coalesce(fold("doc_id", 5) != 0, F.lit(False)), bound)
     return identify(docs.select("doc_id", "text"), models).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
