@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import U, append_columns, byte_chunks, fold, read
+from modlens.llm.common import U, append_columns, byte_chunks, fold, free_name, read
+from modlens.llm.labelled import share
 
 ORDER = 4
 
@@ -117,13 +118,14 @@ class Coder:
         return out
 
 
-def fit_languages(docs: DataFrame, learn: Column, bound: int) -> dict[str, Ppm]:
-    """A tree for each language, from about `bound` of its documents where `learn` holds, or all if there are fewer, taken
-    by a hash of doc_id; whole texts count. Bytes are counted in Spark; the bound on documents bounds each tree."""
+def fit_languages(docs: DataFrame, learn: Column, bound: int, size: int) -> dict[str, Ppm]:
+    """A tree for each language, from about `bound` of its documents where `learn` holds, or all if there are fewer, and
+    about `size` bytes of them at most, taken by a hash of doc_id and text; whole texts count. Bytes are counted in Spark;
+    both bounds are for each language, so one of few documents is learned from all of them, and a tree has at most
+    `size` grams whatever the texts' lengths."""
     known = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    part = F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("in_lang"))
-    sample = known.join(F.broadcast(sizes), "lang").where(part < F.lit(float(bound)) / F.col("in_lang")).select("lang", "text")
+    sizes = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count(F.lit(1)), F.lit(float(size)) / F.greatest(F.lit(1), F.sum(F.octet_length("text")))).alias("rate"))
+    sample = known.join(F.broadcast(sizes), "lang").where(share("doc_id", "text") < F.col("rate")).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,7 +143,8 @@ def fit_languages(docs: DataFrame, learn: Column, bound: int) -> dict[str, Ppm]:
 
 def identify(docs: DataFrame, models: dict[str, Ppm]) -> DataFrame:
     """docs with lang_pred, the language that codes the whole lower-cased text in the fewest bits (of equals the first
-    by name), and score, its share of the probability of all. Null texts and those without letters: und, score 0."""
+    by name), and score, its share of the probability of all, each under a name that no column has. Null texts and those
+    without letters: und, score 0."""
     names = sorted(models)
     sent = docs.sparkSession.sparkContext.broadcast([models[n] for n in names])
 
@@ -153,7 +156,7 @@ def identify(docs: DataFrame, models: dict[str, Ppm]) -> DataFrame:
             letters = np.asarray(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False))
             pred, score = np.full(len(text), "und", object), np.zeros(len(text))
             if coder:
-                for lo, hi, data, ends in byte_chunks(pc.utf8_lower(text), 2 << 20):
+                for lo, hi, data, ends in byte_chunks(pc.utf8_lower(text)):
                     sums = np.zeros((hi - lo, len(names)))
                     if len(data):
                         full = np.flatnonzero(np.diff(ends))
@@ -167,13 +170,14 @@ def identify(docs: DataFrame, models: dict[str, Ppm]) -> DataFrame:
 
         return made
 
-    return append_columns(docs, "lang_pred string, score double", start)
+    return append_columns(docs, f"`{free_name(docs, 'lang_pred')}` string, `{free_name(docs, 'score')}` double", start)
 
 
-def op7_language(spark, sf_dir, bound: int = 4_000):
+def op7_language(spark, sf_dir, bound: int = 4_000, size: int = 16 << 20):
     """doc_id, held_out, lang_pred, score of every document. Learns from about `bound` documents of each language that
-    aren't held out. A null id is held out; without any document to learn from, every language is und; other columns are
+    aren't held out, of about `size` bytes at most. Very long texts are read whole; of languages that code a text in
+    equally few bits, the first by name is predicted. A null id is held out; without any document to learn from, every language is und; other columns are
     ignored; repeated rows are predicted alike; an empty table gives no rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    models = fit_languages(docs, F.coalesce(fold("doc_id", 5) != 0, F.lit(False)), bound)
+    models = fit_languages(docs, F.coalesce(fold("doc_id", 5) != 0, F.lit(False)), bound, size)
     return identify(docs.select("doc_id", "text"), models).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import append_columns, fold, read, stage, unstage
+from modlens.llm.common import append_columns, fold, free_name, read, stage, unstage
 from modlens.llm.labelled import sample_labelled
 
 BITS = 17
@@ -85,24 +85,25 @@ def document_subwords(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_quality(sample: DataFrame) -> SubwordModel:
-    """The model, from sample's text and y (0 or 1). Subword ids are made in Spark; the sample's bound bounds what comes to the driver."""
+    """The model, from sample's text, y (0 or 1) and at. Subword ids are made in Spark, a document has 2**BITS at the most, and the sample's bytes bound what comes to the driver."""
 
     def prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             got = [document_subwords(t) for t in p["text"]]
-            yield pd.DataFrame({"doc_id": p["doc_id"], "y": p["y"].astype("int32"), "ids": [a.astype("<i4").tobytes() for a, _ in got], "w": [b.astype("<f4").tobytes() for _, b in got]})
+            yield pd.DataFrame({"at": p["at"], "y": p["y"].astype("int32"), "ids": [a.astype("<i4").tobytes() for a, _ in got], "w": [b.astype("<f4").tobytes() for _, b in got]})
 
-    held = stage(sample.mapInPandas(prepared, "doc_id long, y int, ids binary, w binary"), "quality-sample")
-    rows = sorted(((r["doc_id"], r["y"], bytes(r["ids"]), bytes(r["w"])) for r in held.toLocalIterator()), key=lambda r: r[:2])
+    held = stage(sample.select("text", "at", "y").mapInPandas(prepared, "at double, y int, ids binary, w binary"), "quality-sample")
+    # in the order of `at`, so that the model doesn't depend on how the sample was partitioned
+    rows = sorted(((r["at"], r["y"], bytes(r["ids"]), bytes(r["w"])) for r in held.toLocalIterator()), key=lambda r: r[:2])
     unstage(held)
     docs = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<f4")) for _, _, a, b in rows]
-    y = np.array([min(max(r[1], 0), 1) for r in rows], np.int64)
+    y = np.array([r[1] for r in rows], np.int64)
     some = [i for i, d in enumerate(docs) if len(d[0])]
     return SubwordModel().fit([docs[i] for i in some], y[some])
 
 
 def score_quality(docs: DataFrame, model: SubwordModel, name: str = "score") -> DataFrame:
-    """docs with the probability of class 1. A null or empty text scores as the outputs' biases say."""
+    """docs with the probability of class 1, under a name that no column has. A null or empty text scores as the outputs' biases say."""
     sent = docs.sparkSession.sparkContext.broadcast((model.word_value(), float(model.bias[1] - model.bias[0])))
 
     def start():
@@ -111,7 +112,7 @@ def score_quality(docs: DataFrame, model: SubwordModel, name: str = "score") ->
 
         def of(text: str | None) -> float:
             words = tokens(text or "")
-            if len(seen) > 300_000:
+            if len(seen) > 200_000:
                 seen.clear()
             for w in set(words).difference(seen):
                 ids = subwords(w)
@@ -121,16 +122,19 @@ def score_quality(docs: DataFrame, model: SubwordModel, name: str = "score") ->
 
         return lambda batch: [pa.array([of(t.as_py()) for t in batch.column("text")], pa.float64())]
 
-    return append_columns(docs, f"`{name}` double", start)
+    return append_columns(docs, f"`{free_name(docs, name)}` double", start)
 
 
-def op2_quality(spark, sf_dir, bound: int = 4_000):
+def op2_quality(spark, sf_dir, bound: int = 4_000, size: int = 24 << 20):
     """doc_id, held_out, score, predicted of every document. Learns from a sample of about `bound` labelled rows that
-    aren't held out. A null id is held out; empty texts score as the biases say; an empty table gives no rows; other
-    columns are ignored; repeated rows are scored alike."""
+    aren't held out, of about `size` bytes of text at most. A null id is held out; empty texts score as the biases say;
+    very long texts are read whole; equal texts score alike, so ties and repeated rows do too; an empty table gives no
+    rows; other columns are ignored, whatever their names."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     learn = F.crc32(F.col("label_id").cast("string").cast("binary")) % 3 != 1
-    model = fit_quality(sample_labelled(docs, read(spark, sf_dir, "labels"), "quality", learn, bound))
+    sample = sample_labelled(docs, read(spark, sf_dir, "labels"), "quality", learn, bound, size)
+    model = fit_quality(sample)
+    unstage(sample)
     return score_quality(docs, model).select(
         "doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )

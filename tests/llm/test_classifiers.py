@@ -9,7 +9,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from modlens.llm import language, quality, toxicity
+from modlens.llm.labelled import sample_labelled
 
 SF = "/root/testdata/sf0.01"
 EDGES = [(1, None), (None, "some text"), (2, ""), (3, "   "), (4, "word " * 20000), (5, "same same same"), (5, "same same same")]
@@ -39,15 +42,68 @@ def test_quality_tells_held_out_documents_apart(spark, labelled):
     assert np.mean([r["predicted"] == labelled[r["doc_id"]]["quality"] for r in held]) > 0.9
 
 
-def test_machine_learns_what_only_pairs_tell():
+def test_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    fm = toxicity.FactorizationMachine(30)
+    fm.b, fm.w, fm.v = -0.3, rng.normal(size=30).astype(np.float32), rng.normal(size=(30, 8)).astype(np.float32)
+    rows = [sorted(rng.choice(30, k, replace=False)) for k in (0, 1, 2, 7, 30, 0)]
+    for row, got in zip(rows, fm.scores(rows)):
+        z = fm.b + sum(float(fm.w[i]) for i in row) + sum(float(fm.v[i] @ fm.v[j]) for i in row for j in row if i < j)
+        assert got == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-4)
+
+
+def test_toxicity_learns_what_only_pairs_tell(spark):
+    """Each word alone tells nothing: a document is toxic if insult and group are both there or both absent."""
     rng = np.random.default_rng(1)
-    rows, y = [], []
-    for _ in range(600):
-        insult, group = rng.random() < 0.5, rng.random() < 0.5
-        rows.append(np.array([0] * insult + [1] * group + [2 + rng.integers(5)], np.int64))
-        y.append(insult and group)
-    fm = toxicity.FactorizationMachine(7).fit(rows, np.array(y, float), epochs=30)
-    assert fm.score([0, 1]) > 0.8 and fm.score([0]) < 0.3 and fm.score([1]) < 0.3
+    rows, other = [], [f"word{i}x" for i in range(400)]
+    for i in range(3000):
+        insult, group = i % 2, i // 2 % 2
+        words = [*rng.choice(other, 30), "idiotic" if insult else "fellow", "groupies" if group else "tables"]
+        rows.append((i, " ".join(rng.permutation(words)), int(insult == group)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    terms, fm = toxicity.train_on(docs, labels, 20_000)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, terms, fm).collect()}
+    held = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(held) > 500 and np.mean([(got[i] >= 0.5) == rows[i][2] for i in held]) > 0.97
+
+
+def test_samples_stay_within_their_bounds(spark):
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat('text ', id, repeat(' long', 2000)) AS text").union(spark.range(600).selectExpr("7", "concat('again ', id, repeat(' long', 2000))"))
+    labels = spark.range(600).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    learn = F.col("label_id").isNotNull()
+    assert 60 < labelled_rows(docs, labels, learn, 100, 1 << 30) < 140
+    assert sample_labelled(docs, labels, "toxic", learn, 10_000, 1 << 20).agg(F.sum(F.octet_length("text"))).first()[0] < 2 << 20
+
+
+def labelled_rows(docs, labels, learn, bound, size):
+    return sample_labelled(docs.where("text LIKE 'text%'"), labels, "toxic", learn, bound, size).count()
+
+
+def test_quality_of_string_ids_and_no_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(f"id{i}", "plain prose of words" if i % 2 else "X!! Y!! Z!!", 1.0) for i in range(80)], "doc_id string, text string, score double")
+    labels = docs.selectExpr("doc_id", "cast(substr(doc_id, 3) AS int) % 2 AS quality")
+    for name, d in (("some", docs), ("none", docs.limit(0))):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    rows = quality.op2_quality(spark, f"{tmp_path}/some").collect()
+    assert len(rows) == 80 and np.mean([r["predicted"] == int(r["doc_id"][2:]) % 2 for r in rows]) > 0.9
+    assert quality.op2_quality(spark, f"{tmp_path}/none").count() == 0
+    model = quality.SubwordModel()
+    assert quality.score_quality(docs, model).columns == ["doc_id", "text", "score", "score_"]
+
+
+def test_word_cache_scores_as_the_mean_of_subword_vectors(spark):
+    model = quality.SubwordModel()
+    texts = ["one two two three", "été été", "a", "", "x " * 3000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+    for i, t in enumerate(texts):
+        words = quality.tokens(t)
+        vectors = [model.e[quality.subwords(w)].astype(np.float64).mean(0) for w in words]
+        h = np.mean(vectors, axis=0) if words else np.zeros(model.e.shape[1])
+        z = model.out.astype(np.float64) @ h + model.bias
+        assert got[i] == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), abs=1e-6)
 
 
 def test_toxicity_edges(spark):
@@ -61,13 +117,13 @@ def test_toxicity_edges(spark):
     odd = train.withColumnRenamed("text", "TEXT0").selectExpr("doc_id", "TEXT0 AS text", "1 AS score", "2 AS toxic_score", "3 AS y")
     kept = toxicity.reject_toxic(odd, labels)
     assert kept.columns == odd.columns and 0 < kept.count() < 40
-    none = toxicity.fit_toxicity(train.selectExpr("text", "1 AS y").limit(0))
+    none = toxicity.fit_toxicity(train.selectExpr("text", "1 AS y", "cast(0 AS double) AS at").limit(0))
     assert none[0] == {}
 
 
 def test_quality_edges(spark):
     docs = spark.createDataFrame(EDGES, "doc_id long, text string")
-    sample = spark.createDataFrame([(i, "plain prose of words" if i % 2 else "X!! Y!! Z!!", i % 2) for i in range(60)], "doc_id long, text string, y int")
+    sample = spark.createDataFrame([(i, "plain prose of words" if i % 2 else "X!! Y!! Z!!", i % 2) for i in range(60)], "doc_id long, text string, y int").withColumn("at", F.rand(1))
     model = quality.fit_quality(sample)
     got = {r["text"]: r["score"] for r in quality.score_quality(docs, model).collect()}
     assert got[None] == got[""] == got["   "] and all(0 <= s <= 1 for s in got.values())
@@ -132,7 +188,7 @@ def test_language_of_held_out_documents(spark):
 
 def test_language_edges(spark):
     docs = spark.createDataFrame([(i, "the cat and the dog " * 3 if i % 2 else "der hund und die katze " * 3, "en" if i % 2 else "de") for i in range(30)] + [(40, None, "en"), (41, "x", None), (None, "the", "en")], "doc_id long, text string, lang string")
-    models = language.fit_languages(docs, docs["doc_id"].isNotNull(), 1000)
+    models = language.fit_languages(docs, docs["doc_id"].isNotNull(), 1000, 1 << 24)
     assert sorted(models) == ["de", "en"]
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "the dog"), (5, "der hund " * 30000)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in language.identify(odd, models).collect()}

@@ -15,7 +15,7 @@ def test_rare_language_is_learned_beside_a_large_one(spark):
     large, rare = ["the", "and", "house", "walking", "through", "there"], ["och", "från", "också", "går", "hälsa", "själv"]
     rows = [(i, say(large), "en") for i in range(4000)] + [(10_000 + i, say(rare), "sv") for i in range(8)] + [(20_000 + i, None, "xx") for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    models = language.fit_languages(docs, F.lit(True), 40)
+    models = language.fit_languages(docs, F.lit(True), 40, 1 << 24)
     assert sorted(models) == ["en", "sv"]
     asked = spark.createDataFrame([(1, say(rare)), (2, say(large))], "doc_id long, text string")
     assert [r["lang_pred"] for r in language.identify(asked, models).orderBy("doc_id").collect()] == ["sv", "en"]
