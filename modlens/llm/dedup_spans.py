@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from modlens.llm.common import Rolling, U, byte_chunks, filter_slot, in_filter, key_filter, read, stage, unstage
 from modlens.llm.suffixes import common_prefixes, suffix_array
 
-#: Bytes of the gram whose smallest hash names a window's bucket: of documents, and of the pieces of buckets that hold
-#: several kinds. A long gram parts windows that share a passage by what stands beside it.
-GRAM, LONG_GRAM = 64, 320
+#: Bytes of the gram whose smallest hash names a window's bucket; and, of the pieces of buckets that hold too many kinds, the
+#: gram's share of the window. A long gram parts windows that share a passage by what stands beside it.
+GRAM, LONG_GRAM = 64, 0.8
 PIECES = 384  # of one suffix array, so that its text stays small
 TEXT = 256 << 10
 
@@ -38,27 +38,27 @@ def window_minima(h: np.ndarray, width: int, gram: int) -> np.ndarray:
     return (best & low).astype(np.int64)
 
 
-def cut_pieces(data: np.ndarray, ends: np.ndarray, width: int, gram: int = GRAM):
-    """Row, start in the row, number of windows, bucket and content hash of every run of windows of one bucket.
+def cut_pieces(data: np.ndarray, ends: np.ndarray, widths: tuple[int, ...], gram: int = GRAM):
+    """Width, row, start in the row, number of windows, bucket and content hash of every run of windows of one bucket.
 
     Windows of equal bytes have the same least gram and so the same bucket; each window is in one piece, and a piece of
     k windows is k + width - 1 bytes. Nothing crosses the border of a row.
     """
-    rows, starts, counts, buckets, hashes = [], [], [], [], []
-    for r in np.flatnonzero(np.diff(ends) >= width):
+    found: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    for r in np.flatnonzero(np.diff(ends) >= min(widths)):
         text = data[ends[r] : ends[r + 1]]
         rolling = Rolling(text)
         h = rolling.every(gram)
-        at = window_minima(h, width, gram)
-        first = np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1)
-        k = np.diff(np.append(first, len(at)))
-        rows.append(np.full(len(first), r))
-        starts.append(first)
-        counts.append(k)
-        buckets.append(h[at[first]])
-        hashes.append(rolling(first, first + k + width - 1))
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return join(rows, np.int64), join(starts, np.int64), join(counts, np.int64), join(buckets, np.uint64), join(hashes, np.uint64)
+        for width in widths:
+            at = window_minima(h, width, gram)
+            if not len(at):
+                continue
+            first = np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1)
+            k = np.diff(np.append(first, len(at)))
+            for o, x in zip(found, (np.full(len(first), width), np.full(len(first), r), first, k, h[at[first]], rolling(first, first + k + width - 1))):
+                o.append(x)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
+    return tuple(np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in zip(found, kinds))
 
 
 def repeated_windows(pieces: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -90,17 +90,18 @@ def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def find_pieces(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """key, start, k, bucket, content of every piece of docs (key, raw)."""
+def find_pieces(docs: DataFrame, widths: tuple[int, ...], gram: int) -> DataFrame:
+    """width, key, start, k, bucket, content of every piece of docs (key, raw)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, ends in byte_chunks(b.column("raw")):
-                row, start, k, bucket, content = cut_pieces(data, ends, width, gram)
+                width, row, start, k, bucket, content = cut_pieces(data, ends, widths, gram)
                 key = np.asarray(b.column("key"))[lo:hi][row]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(k.astype(np.int16)), pa.array(bucket.view(np.int64)), pa.array(content.view(np.int64))], names=["key", "start", "k", "bucket", "content"])
+                columns = (width.astype(np.int16), key, start.astype(np.int32), k.astype(np.int16), bucket.view(np.int64), content.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["width", "key", "start", "k", "bucket", "content"])
 
-    return docs.select("key", "raw").mapInArrow(made, "key long, start int, k short, bucket long, content long")
+    return docs.select("key", "raw").mapInArrow(made, "width short, key long, start int, k short, bucket long, content long")
 
 
 def known_kinds(pieces: DataFrame) -> DataFrame:
@@ -182,8 +183,9 @@ def sort_buckets(pieces: DataFrame, width: int, parts: int) -> DataFrame:
 
 
 def placed(pieces: DataFrame, marks: DataFrame) -> DataFrame:
-    """key, a, b: the marked runs of windows (bucket, content, begin, until) at all places of their pieces."""
-    m = marks.groupBy(F.col("bucket").alias("mb"), F.col("content").alias("mc")).agg(F.collect_set(F.struct("begin", "until")).alias("marks"))
+    """key, a, b: the marked runs of windows (bucket, content, begin, until) at all places of their pieces. The marks are
+    a table of one row a content, so that Spark can split a content with very many places."""
+    m = stage(marks.groupBy(F.col("bucket").alias("mb"), F.col("content").alias("mc")).agg(F.collect_set(F.struct("begin", "until")).alias("marks")), "span-marks")
     at = pieces.join(m, (F.col("bucket") == F.col("mb")) & (F.col("content") == F.col("mc")))
     shifted = F.transform("marks", lambda x: F.struct((F.col("start") + x["begin"]).alias("a"), (F.col("start") + x["until"]).alias("b")))
     return at.select("key", F.explode(shifted).alias("s")).select("key", "s.a", "s.b")
@@ -197,7 +199,7 @@ def whole(known: DataFrame) -> DataFrame:
 def inside_pieces(texts: DataFrame, width: int) -> DataFrame:
     """key, a, b: the runs of windows that two of these texts (key, raw) share, by suffix arrays over buckets of long grams."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = stage(find_pieces(texts, width, LONG_GRAM), "span-inner")
+    pieces = stage(find_pieces(texts, (width,), int(LONG_GRAM * width)), "span-inner")
     known = known_kinds(pieces)
     blocks = F.ceil(F.col("kinds") / F.lit(float(PIECES)))
     wanted = known.where("kinds > 1").select("bucket", "content", "key", "start", "k", (F.col("kinds") > PIECES).alias("many"), F.pmod(F.xxhash64("content"), blocks).cast("int").alias("block"))
@@ -215,19 +217,57 @@ def inside_pieces(texts: DataFrame, width: int) -> DataFrame:
     return out
 
 
-def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
-    """key, spans: for each document (key, raw) the runs of window starts that occur elsewhere too."""
-    pieces = stage(find_pieces(docs, width, GRAM), "span-pieces")
+def repeated_spans(docs: DataFrame, pieces: DataFrame, width: int) -> DataFrame:
+    """key, spans: for each document (key, raw) the runs of window starts that occur elsewhere too; pieces are those of docs."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = known_kinds(pieces)
-    wanted = stage(known.where("kinds > 1").select("bucket", "content", "key", "start", "k", F.lit(False).alias("many"), F.lit(0).alias("block")), "span-wanted")
-    held = stage(texts_of(docs, wanted, width).select("bucket", "content", F.xxhash64("bucket", "content").alias("key"), F.col("piece").alias("raw")), "span-pieces")
-    inside = inside_pieces(held.select("key", "raw"), width)
-    inside = inside.join(wanted.select("bucket", "content", F.xxhash64("bucket", "content").alias("of")), F.col("key") == F.col("of")).select("bucket", "content", F.col("a").alias("begin"), F.col("b").alias("until"))
-    spans = stage(placed(pieces, whole(known).union(inside)).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "span-spans")
-    unstage(pieces, known, wanted, held)
+    wanted = stage(known.where("kinds > 1").select("bucket", "content", "key", "start", "k", (F.col("kinds") > PIECES).alias("many"), F.lit(0).alias("block")), "span-wanted")
+    held = stage(texts_of(docs, wanted, width), "span-pieces")
+    found = sort_buckets(held.where("NOT many"), width, parts).select("bucket", "content", "begin", "until")
+    large = held.where("many").select("bucket", "content", F.xxhash64("bucket", "content").alias("key"), F.col("piece").alias("raw"))
+    inside = inside_pieces(large.select("key", "raw"), width)
+    names = wanted.where("many").select("bucket", "content", F.xxhash64("bucket", "content").alias("of"))
+    inside = inside.join(names, F.col("key") == F.col("of")).select("bucket", "content", F.col("a").alias("begin"), F.col("b").alias("until"))
+    spans = stage(placed(pieces, whole(known).union(found).union(inside)).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "span-spans")
+    unstage(known, wanted, held)
     return spans
 
 
+def sharing(docs: DataFrame, pieces: DataFrame, width: int) -> DataFrame:
+    """key of each document (key, raw) that has a string of `width` bytes in common with another; pieces are those of docs.
+
+    All documents of a piece that several have share it. What is left are pieces of one document each: where those of a
+    document that isn't known yet are in a bucket with other kinds, the hashes of the bucket's windows are compared.
+    """
+    shared = pieces.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("b"))
+    kinds = pieces.join(shared, F.col("bucket") == F.col("b")).groupBy("bucket", "content", "k").agg(F.min("key").alias("key"), F.max("key").alias("hi"), F.min_by("start", "key").alias("start"))
+    kinds = stage(kinds, "share-kinds")
+    common = stage(kinds.where("key <> hi").select(F.col("bucket").alias("mb"), F.col("content").alias("mc")), "share-common")
+    sure = stage(pieces.join(common, (F.col("bucket") == F.col("mb")) & (F.col("content") == F.col("mc"))).select("key").distinct(), "share-sure")
+    known = sure.select(F.col("key").alias("known"))
+    unknown = kinds.where("key = hi").join(known, F.col("key") == F.col("known"), "left_anti").select(F.col("bucket").alias("ob")).distinct()
+    wanted = kinds.join(unknown, F.col("bucket") == F.col("ob"), "left_semi").select("bucket", "content", "key", "start", "k", (F.col("key") != F.col("hi")).alias("many"), F.lit(0).alias("block"))
+    wanted = stage(wanted, "share-wanted")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, ends in byte_chunks(b.column("piece")):
+                for r in range(hi - lo):
+                    h = np.unique(Rolling(data[ends[r] : ends[r + 1]]).every(width))
+                    columns = [pa.array(np.full(len(h), b.column(c)[lo + r].as_py())) for c in ("bucket", "content", "many")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(h.view(np.int64))], names=["bucket", "content", "many", "window"])
+
+    of = wanted.select(F.col("bucket").alias("kb"), F.col("content").alias("kc"), "key")
+    rows = texts_of(docs, wanted, width).mapInArrow(windows, "bucket long, content long, many boolean, window long")
+    rows = stage(rows.join(of, (F.col("bucket") == F.col("kb")) & (F.col("content") == F.col("kc"))).select("bucket", "window", "key", "many"), "share-windows")
+    twice = rows.groupBy("bucket", "window").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.bool_or("many").alias("any")).where("lo <> hi OR any")
+    twice = stage(twice.select(F.col("bucket").alias("wb"), F.col("window").alias("ww")), "share-twice")
+    met = rows.join(twice, (F.col("bucket") == F.col("wb")) & (F.col("window") == F.col("ww"))).select("key")
+    out = stage(sure.union(met).distinct(), "share-keys")
+    unstage(kinds, common, sure, wanted, rows, twice)
+    return out
+
+
 def covered(spans: list[dict], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the maximal runs of bytes that the windows of these runs of starts cover."""
     a = np.array([s["a"] for s in spans], np.int64)
@@ -241,21 +281,30 @@ def covered(spans: list[dict], width: int) -> tuple[np.ndarray, np.ndarray]:
 _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, keep_text: bool = False, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' carried columns with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay).
+def remove_repeats(docs: DataFrame, width: int = 400, keep_text: bool = False, carried: tuple[str, ...] = ("doc_id",), passage: int | None = None) -> DataFrame:
+    """docs' carried columns with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay)
+    and shared (1 if the text has a string of `passage` bytes that another document has too, else 0).
 
     Texts are read whole as UTF-8 bytes, null as empty. Each byte is removed that lies in a string of `width` bytes which
     also starts at another place of any text, the same one included; overlaps count, strings are judged on the input,
-    and no string crosses documents. Texts shorter than width lose nothing. Rows of equal doc_id and text are two places
-    each, so both lose what they share. An empty table gives no rows.
+    and no string crosses documents. Texts shorter than width lose nothing; very long ones are cut into pieces like
+    others. Rows of equal doc_id and text are two places each, so both lose what they share, but one document for
+    `shared`. An empty table gives no rows; columns that aren't carried are ignored, whatever their names.
 
     Windows of `width` bytes are dealt out by the gram of least hash in them, so equal windows meet, and neighbouring
-    windows travel as one piece. Equal pieces are counted, not moved. Of a bucket whose pieces differ, one of each kind is
-    dealt out again by a longer gram; what then still differs is sorted in suffix arrays of a bounded text. A bucket too
-    large for one is split into blocks, and the blocks' distinct windows are matched by a hash.
+    windows travel as one piece. Equal pieces are counted, not moved. Of a bucket whose pieces differ, one of each kind
+    goes into a suffix array of a bounded text; those of a bucket with too many kinds for one are first dealt out again by
+    a longer gram, and if a bucket still has too many it is split into blocks, whose distinct windows are matched by a hash.
     """
     mine = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.xxhash64("doc_id", "text").alias("key"), F.encode("text", "UTF-8").alias("raw"))
-    spans = repeated_spans(mine.select("key", "raw"), width)
+    texts = mine.select("key", "raw")
+    pieces = stage(find_pieces(texts, (width, passage) if passage else (width,), GRAM), "span-pieces")
+    spans = repeated_spans(texts, pieces.where(F.col("width") == width), width)
+    if passage:
+        keys = sharing(texts, pieces.where(F.col("width") == passage), passage).select(F.col("key").alias("sharer"))
+        spans = spans.join(keys, F.col("key") == F.col("sharer"), "full").select(F.coalesce("key", "sharer").alias("key"), "spans", F.when(F.col("sharer").isNull(), 0).otherwise(1).alias("shared"))
+        spans = stage(spans, "span-spans")
+    unstage(pieces)
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(spans, "key"))
     n, names = len(carried), [f"c{i}" for i in range(len(carried))]
 
@@ -268,14 +317,14 @@ def remove_repeats(docs: DataFrame, width: int = 400, keep_text: bool = False, c
             kept = b"".join(raw[x:y] for x, y in zip(np.append(0, b).tolist(), np.append(a, len(raw)).tolist()))
         return len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore").encode() if keep_text and not null else None
 
-    def result(columns: list[pa.Array], done: list[tuple]) -> pa.RecordBatch:
+    def result(columns: list[pa.Array], done: list[tuple], shared: pa.Array) -> pa.RecordBatch:
         made = [pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-        return pa.RecordBatch.from_arrays([*columns, *made], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return pa.RecordBatch.from_arrays([*columns, *made, shared], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "shared"])
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(~in_filter(bits.value, np.asarray(b.column("slot")))))
-            yield result(b.columns[:n], [cut(r.as_py(), None) for r in b.column("raw")])
+            yield result(b.columns[:n], [cut(r.as_py(), None) for r in b.column("raw")], pa.array(np.zeros(len(b), np.int32)))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,23 +332,31 @@ def remove_repeats(docs: DataFrame, width: int = 400, keep_text: bool = False, c
 
     def with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield result(b.columns[:n], [cut(r.as_py(), s.as_py()) for r, s in zip(b.column("raw"), b.column("spans"))])
+            yield result(b.columns[:n], [cut(r.as_py(), s.as_py()) for r, s in zip(b.column("raw"), b.column("spans"))], b.column("shared"))
 
     raw = mine.select(*names, "key", filter_slot("key").alias("slot"), "raw")
     ddl = ", ".join(f"{c} {raw.schema[c].dataType.simpleString()}" for c in names)
-    clear = raw.mapInArrow(without, f"{ddl}, {_CUT}")
+    clear = raw.mapInArrow(without, f"{ddl}, {_CUT}, shared int")
     rest = raw.mapInArrow(maybe, f"{ddl}, key long, raw binary").join(spans.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
-    rest = rest.select(*names, "raw", "spans").mapInArrow(with_spans, f"{ddl}, {_CUT}")
-    out = clear.union(rest).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    return out if keep_text else out.drop("kept")
+    shared = F.coalesce("shared", F.lit(0)) if passage else F.lit(0)
+    rest = rest.select(*names, "raw", "spans", shared.cast("int").alias("shared")).mapInArrow(with_spans, f"{ddl}, {_CUT}, shared int")
+    out = clear.union(rest).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "shared")
+    return out.drop(*([] if keep_text else ["kept"]), *([] if passage else ["shared"]))
+
+
+#: Bytes of a passage of over fifty words, or somewhat fewer.
+PASSAGE = 280
 
 
 def op3_repeated_spans(spark, sf_dir):
-    return remove_repeats(read(spark, sf_dir, "documents"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and shared: 1 if another document has 280 bytes of the text too,
+    about fifty words, even if they are fewer than are removed. Odd rows are treated as remove_repeats() says."""
+    return remove_repeats(read(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
-def without_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
-    """docs with the kept bytes as text; columns as before. Of a character that a cut has split, the rest goes too; a null text stays null."""
+def without_repeats(docs: DataFrame, width: int = PASSAGE) -> DataFrame:
+    """docs with the kept bytes as text; columns as before. Of a character that a cut has split, the rest goes too; a null
+    text stays null. Other odd rows are treated as remove_repeats() says."""
     others = tuple(c for c in docs.columns if c != "text")
     found = remove_repeats(docs, width, keep_text=True, carried=others)
     return found.withColumn("text", F.col("kept").cast("string")).select(*docs.columns)

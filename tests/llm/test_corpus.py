@@ -166,6 +166,31 @@ def test_spans_match_brute_force(spark, monkeypatch, block):
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_spans([t for _, t in rows], 400)
 
 
+@pytest.mark.parametrize("block", [3, 384])
+def test_documents_that_share_a_passage(spark, monkeypatch, block):
+    monkeypatch.setattr(dedup_spans, "PIECES", block)
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
+    long = [say(700) for _ in range(3)]
+    docs = [say(rng.randrange(600)) for _ in range(20)]
+    for _ in range(40):
+        a, k = rng.randrange(200), rng.randrange(150, 420)
+        docs.append(say(rng.randrange(250)) + rng.choice(long)[a : a + k] + say(rng.randrange(250)))
+    own = say(330)
+    docs += [own + say(20) + own, docs[3], "x" * 900, None, ""]
+    rows = [*enumerate(docs), (4, docs[4]), (4, docs[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dedup_spans.remove_repeats(df, passage=280).collect()
+    holders = defaultdict(set)
+    for r in set(rows):
+        raw = (r[1] or "").encode()
+        for i in range(len(raw) - 279):
+            holders[raw[i : i + 280]].add(r)
+    want = {d: 0 for d, _ in rows} | {d: 1 for who in holders.values() if len(who) > 1 for d, _ in who}
+    assert 10 < sum(want.values()) < 60 and {r["doc_id"]: r["shared"] for r in got} == want
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_spans([t for _, t in rows], 400)
+
+
 def test_spans_of_nothing_and_valid_text(spark):
     assert dedup_spans.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     long = "é" * 400

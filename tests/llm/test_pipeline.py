@@ -37,18 +37,20 @@ def test_near_duplicates_keep_one_of_a_group(stages):
 
 
 def test_passages_are_cut(stages):
+    from modlens.llm.dedup_spans import PASSAGE as w
+
     _, docs, made = stages[2]
     before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (docs, made))
     seen: dict[bytes, int] = {}
     raw = {d: (t or "").encode() for d, t in before.items()}
     for b in raw.values():
-        for i in range(len(b) - 399):
-            seen[b[i : i + 400]] = seen.get(b[i : i + 400], 0) + 1
+        for i in range(len(b) - w + 1):
+            seen[b[i : i + w]] = seen.get(b[i : i + w], 0) + 1
     for d, b in raw.items():
         gone = set()
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone.update(range(i, i + 400))
+        for i in range(len(b) - w + 1):
+            if seen[b[i : i + w]] > 1:
+                gone.update(range(i, i + w))
         assert after[d].encode() == bytes(c for i, c in enumerate(b) if i not in gone).decode("utf-8", "ignore").encode()
 
 
