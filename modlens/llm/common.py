@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,9 +30,11 @@ def fold(column: str, parts: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none, a local one under a local master (tests), and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='modlens-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -87,8 +90,8 @@ def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def byte_chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, their bytes joined, offsets into those) with about limit bytes each; null reads as empty."""
+def byte_chunks(column: pa.Array, limit: int = 1 << 20, rows: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, their bytes joined, offsets into those) with about `limit` bytes and at most `rows` rows each; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     wide = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -99,7 +102,7 @@ def byte_chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, i
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + limit, "right")) - 1)
-        b = min(b, n)
+        b = min(b, n, a + rows)
         yield a, b, data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
         a = b
 

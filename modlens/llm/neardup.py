@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import Rolling, U, byte_chunks, filter_slot, in_filter, key_filter, lower_ascii, mix, read, stage, unstage, word_spans
+from modlens.llm.common import Rolling, U, byte_chunks, filter_slot, free_name, in_filter, key_filter, lower_ascii, mix, read, stage, unstage, word_spans
 from modlens.llm.graph import components
 
 COORDS = 512  # of a sketch; a power of two
@@ -82,9 +82,15 @@ def two_bits(sketch: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two, axis=2)
 
 
+def node_hashes(shingles: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """16 bytes for each row's sorted shingles: at 10**10 different sets two are still unlikely to meet."""
+    raw = shingles.astype("<u8").tobytes()
+    return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(cut[:-1], cut[1:])]
+
+
 def signatures(docs: DataFrame, width: int, bands: int) -> DataFrame:
-    """doc_id, key, node, n, sketch, bands of each row of docs (doc_id, key, text). node is a hash of the shingle set, so
-    rows of equal sets share it; without words it is the row's key."""
+    """doc_id, key, node, n, sketch, bands of each row of docs (doc_id, key, text). node is 16 bytes of a hash of the
+    shingle set, so rows of equal sets share it; without words it is a hash of doc_id and text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,8 +98,10 @@ def signatures(docs: DataFrame, width: int, bands: int) -> DataFrame:
                 sh, n = shingle_sets(data, ends, width)
                 cut = np.append(0, np.cumsum(n))
                 key = np.asarray(b.column("key"))[lo:hi]
-                raw = sh.astype("<u8").tobytes()
-                node = np.array([int.from_bytes(hashlib.blake2b(raw[8 * s : 8 * e], digest_size=8).digest(), "little", signed=True) if e > s else k for s, e, k in zip(cut[:-1], cut[1:], key)], np.int64)
+                node = node_hashes(sh, cut)
+                for i in np.flatnonzero(n == 0):
+                    row = f"{b.column('doc_id')[lo + i].as_py()!r} {b.column('text')[lo + i].as_py()!r}"
+                    node[i] = hashlib.blake2b(row.encode("utf-8", "replace"), digest_size=16, person=b"no words").digest()
                 sk = sketches(sh, n)
                 band = np.zeros((hi - lo, bands), np.uint64)
                 for j in range(bands):
@@ -102,28 +110,29 @@ def signatures(docs: DataFrame, width: int, bands: int) -> DataFrame:
                 per = COORDS // 32
                 longs = lambda x, k: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(full * k)), pa.int32()), pa.array(x[full].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), pa.array(key), pa.array(node), pa.array(n), longs(two_bits(sk), per), longs(band, bands)],
+                    [b.column("doc_id").slice(lo, hi - lo), pa.array(key), pa.array(node, pa.binary()), pa.array(n), longs(two_bits(sk), per), longs(band, bands)],
                     names=["doc_id", "key", "node", "n", "sketch", "bands"],
                 )
 
-    return docs.select("doc_id", "key", "text").mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, node long, n long, sketch array<long>, bands array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, node binary, n long, sketch array<long>, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, shingles of the wanted rows (node, key). A fixed-size filter on key spares the other texts the work."""
+    """node, shingles of the wanted nodes (node, key). A fixed-size filter on the key of one of a node's rows spares other texts the work."""
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "key"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(in_filter(bits.value, np.asarray(b.column("slot")))))
-            for lo, hi, data, ends in byte_chunks(b.column("text")):
+            for _, _, data, ends in byte_chunks(b.column("text")):
                 sh, n = shingle_sets(data, ends, width)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(sh.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(lo, hi - lo), lists], names=["of_key", "shingles"])
+                cut = np.append(0, np.cumsum(n))
+                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(sh.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node_hashes(sh, cut), pa.binary()), lists], names=["of_node", "shingles"])
 
-    sets = docs.select("key", filter_slot("key").alias("slot"), "text").mapInArrow(made, "of_key long, shingles array<long>")
-    # a repeated row gives its key twice
-    return sets.join(wanted, F.col("of_key") == F.col("key")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = docs.select(filter_slot("key").alias("slot"), "text").mapInArrow(made, "of_node binary, shingles array<long>")
+    # rows that pass the filter by chance may be of a wanted node too
+    return sets.join(wanted.select("node"), F.col("of_node") == F.col("node")).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 LONGS = COORDS // 32
@@ -185,8 +194,8 @@ def best_heads(nodes: DataFrame, key: str, roots: DataFrame | None, percent: int
     of shingles that others have too. Buckets are summed up before the join, so a hot one sends one head.
     """
     rows = rooted(nodes, "node", "mine", roots).withColumn("bucket", F.explode(key)).drop("bands", "pairs", "fours")
-    central = F.struct((F.col("common") / F.col("size")).alias("c"), (-F.col("node")).alias("n"), *["node", "mine", *FACTS])
-    heads = rows.groupBy("bucket").agg(F.max(central).alias("h"), F.count("node").alias("n")).where("n > 1").select(F.col("bucket").alias("of"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in ["node", "mine", *FACTS]])
+    central = F.struct((-F.col("common") / F.col("size")).alias("c"), *["node", "mine", *FACTS])
+    heads = rows.groupBy("bucket").agg(F.min(central).alias("h"), F.count("node").alias("n")).where("n > 1").select(F.col("bucket").alias("of"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in ["node", "mine", *FACTS]])
     met = rows.join(heads, F.col("bucket") == F.col("of")).where((F.col("mine") != F.col("h_mine")) & _near("", "h_", percent))
     return met.groupBy(F.col("node").alias("a")).agg(F.min(F.struct(_different("", "h_").alias("d"), F.col("h_node").alias("b"))).alias("x")).select("a", "x.b")
 
@@ -243,19 +252,27 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -
     return roots
 
 
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, key, n, root of each row of docs (doc_id, text): rows of one root are linked, directly or through others."""
+    docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    signed = stage(signatures(docs, width, bands_for(percent / 100)), "near-signed")
+    roots = linked_nodes(docs, signed, width, percent).select(F.col("node").alias("at"), "root")
+    out = stage(signed.join(roots, F.col("node") == F.col("at"), "left").select("doc_id", "key", "n", F.coalesce("root", "node").alias("root")), "near-grouped")
+    unstage(signed)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs.
 
     Rows are linked if their sets of `width`-word shingles, of the ASCII-lower-cased whole text, have a Jaccard
     similarity of percent / 100 or more; component_id is the smallest doc_id that links reach. A text with fewer words
-    is one shingle; one without words, or null, is linked with nothing. Rows of equal sets form one class, so copies
-    aren't compared with one another. Null ids don't become a component_id unless all ids of a component are null;
-    repeated rows are in one component, and all rows of its smallest id are kept. An empty table gives no rows.
+    is one shingle; one without words, or null, is linked with nothing; a very long one has a large set, read whole.
+    Rows of equal sets form one class, so copies aren't compared with one another. Null ids don't become a component_id
+    unless all ids of a component are null; repeated rows are in one component, and all rows of its smallest id are
+    kept. An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    signed = stage(signatures(docs, width, bands_for(percent / 100)), "near-signed")
-    roots = linked_nodes(docs, signed, width, percent).select(F.col("node").alias("at"), "root")
-    of = signed.join(roots, F.col("node") == F.col("at"), "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    of = grouped(docs, width, percent)
     ids = of.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r")
     return of.join(ids, F.col("root") == F.col("r")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -265,15 +282,22 @@ def op8_near_duplicates(spark, sf_dir):
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that of the smallest doc_id; columns as before.
+    """docs with one row of each group of near-duplicates; columns as before.
 
-    Of rows that repeat a kept id, one stays. Rows with a null id are compared like others, and of a group of null ids
-    alone all stay.
+    It is a row of the smallest doc_id, a null one only if all are null; of rows of that id with different texts the one
+    of least hash stays. Rows of one id that aren't linked are rows of different groups, and each may stay. Repeated rows
+    are one group, those without words too. An empty table gives no rows; other columns go along, whatever their names.
     """
-    kept = stage(near_duplicates(docs, width, percent).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("copies")), "near-kept")
-    on = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    out = docs.join(kept.select("kept_id"), on, "left_semi")
-    again = kept.where("copies > 1 AND kept_id IS NOT NULL").select("kept_id")
-    if again.isEmpty():
-        return out
-    return docs.join(kept.where("copies = 1 OR kept_id IS NULL").select("kept_id"), on, "left_semi").unionByName(docs.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
+    of = grouped(docs, width, percent)
+    kept = of.groupBy("root").agg(first).select(F.col("f.doc_id").alias("kept_id"), F.col("f.key").alias("kept_key"))
+    rows = of.select("doc_id", "key").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    kept = stage(kept.join(rows, (F.col("kept_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("kept_id", "kept_key", "copies"), "near-kept")
+    mine = free_name(docs, "row_key")
+    keyed = docs.withColumn(mine, F.xxhash64("doc_id", "text"))
+    on = (F.col(mine) == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    again = kept.where("copies > 1")
+    out = keyed.join(kept.where("copies = 1"), on, "left_semi")
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.drop(mine)
