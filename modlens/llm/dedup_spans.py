@@ -239,9 +239,9 @@ def sharing(docs: DataFrame, pieces: DataFrame, width: int) -> DataFrame:
     All documents of a piece that several have share it. What is left are pieces of one document each: where those of a
     document that isn't known yet are in a bucket with other kinds, the hashes of the bucket's windows are compared.
     """
-    shared = pieces.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("b"))
-    kinds = pieces.join(shared, F.col("bucket") == F.col("b")).groupBy("bucket", "content", "k").agg(F.min("key").alias("key"), F.max("key").alias("hi"), F.min_by("start", "key").alias("start"))
-    kinds = stage(kinds, "share-kinds")
+    each = stage(pieces.groupBy("bucket", "content", "k").agg(F.min("key").alias("key"), F.max("key").alias("hi"), F.min_by("start", "key").alias("start")), "share-each")
+    shared = stage(each.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("hi").alias("last")).where("lo <> last").select(F.col("bucket").alias("b")), "share-buckets")
+    kinds = stage(each.join(shared, F.col("bucket") == F.col("b"), "left_semi"), "share-kinds")
     common = stage(kinds.where("key <> hi").select(F.col("bucket").alias("mb"), F.col("content").alias("mc")), "share-common")
     sure = stage(pieces.join(common, (F.col("bucket") == F.col("mb")) & (F.col("content") == F.col("mc"))).select("key").distinct(), "share-sure")
     known = sure.select(F.col("key").alias("known"))
@@ -264,7 +264,7 @@ def sharing(docs: DataFrame, pieces: DataFrame, width: int) -> DataFrame:
     twice = stage(twice.select(F.col("bucket").alias("wb"), F.col("window").alias("ww")), "share-twice")
     met = rows.join(twice, (F.col("bucket") == F.col("wb")) & (F.col("window") == F.col("ww"))).select("key")
     out = stage(sure.union(met).distinct(), "share-keys")
-    unstage(kinds, common, sure, wanted, rows, twice)
+    unstage(each, shared, kinds, common, sure, wanted, rows, twice)
     return out
 
 
