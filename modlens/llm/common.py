@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,37 @@ FILTER_BITS = 26
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of an Arrow batch: a task holds one at a time, so these bound what a Python worker takes.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Asks Spark for smaller Arrow batches in this session, unless it already makes some as small."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"\d+", spark.conf.get(name, None) or "")
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(name, str(most))
+
+
+def give_back() -> None:
+    """Returns memory that nothing uses any more to the system; a worker lives on after a task, and the driver after a fit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with its memory given back at the end of each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +75,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns the table: lineage ends here, and a lost executor costs nothing that was written."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -177,7 +210,7 @@ def append_columns(df: DataFrame, added: str, start) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *make(b)], names=[*b.schema.names, *new.names])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, *new.fields]))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import Rolling, U, byte_chunks, fold, lower_ascii, read, stage, unstage, word_spans
+from modlens.llm.common import Rolling, U, byte_chunks, fold, lower_ascii, read, stage, tidy, unstage, word_spans
 
 DEPTH = 5  # bytes of context
 END = 255  # no byte of UTF-8; stands before and after every text
@@ -82,7 +82,7 @@ def count_symbols(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("text", "train").mapInArrow(made, "key long, train_n long, all_n long").groupBy("key").agg(F.sum("train_n").alias("train_n"), F.sum("all_n").alias("all_n"))
+    return docs.select("text", "train").mapInArrow(tidy(made), "key long, train_n long, all_n long").groupBy("key").agg(F.sum("train_n").alias("train_n"), F.sum("all_n").alias("all_n"))
 
 
 # --- the tree -------------------------------------------------------------------------------------------------------
@@ -211,14 +211,14 @@ def tree_values(counts: DataFrame) -> DataFrame:
             add = lambda x: pa.array(np.bincount(inverse, x, len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), add(level.n0), add(level.n1), add(level.log_weighted)], names=["node", "n0", "n1", "below"])
 
-    rows = laid.mapInArrow(up, "node long, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()
+    rows = laid.mapInArrow(tidy(up), "node long, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()
     top = counts.sparkSession.sparkContext.broadcast(upper_levels(np.column_stack([rows.column(c).to_numpy().astype(float) for c in ("node", "n0", "n1", "below")])))
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t, n in whole_groups(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(gram_log10(k, t, *top.value)), pa.array(n)], names=["key", "value", "all_n"])
 
-    return laid.mapInArrow(down, "key long, value double, all_n long")
+    return laid.mapInArrow(tidy(down), "key long, value double, all_n long")
 
 
 # --- scoring --------------------------------------------------------------------------------------------------------
@@ -319,7 +319,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "held_out", "row", "text").mapInArrow(scored, f"row long, item long, n long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    out = docs.select("doc_id", "held_out", "row", "text").mapInArrow(tidy(scored), f"row long, item long, n long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     table = grams_.select("key", "value").union(words.select("key", "value"))
     # marks have no key; rare keys can't be skewed
     out = out.join(table, F.col("item") == F.col("key"), "left")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from modlens.llm.common import SPACE, U, byte_chunks, read, stage
+from modlens.llm.common import SPACE, U, byte_chunks, read, stage, tidy
 
 Q = 8  # bytes of a gram
 SEGMENT = 100  # bytes of a window
@@ -209,7 +209,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, share: float = 0.1) ->
                         [b.column("doc_id").take(at), b.column("row").take(at), pa.array([i for _, i in best], b_kind), pa.array(list(best.values()), pa.int64())], names=["doc_id", "row", "item_id", "edits"]
                     )
 
-        one = mine.mapInArrow(found, f"doc_id {id_kind}, row long, item_id {kind}, edits long")
+        one = mine.mapInArrow(tidy(found), f"doc_id {id_kind}, row long, item_id {kind}, edits long")
         out = one if out is None else out.union(one)
     return out
 

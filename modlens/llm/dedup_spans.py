@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import Rolling, U, byte_chunks, filter_slot, in_filter, key_filter, read, stage, unstage
+from modlens.llm.common import Rolling, U, byte_chunks, filter_slot, in_filter, key_filter, read, stage, tidy, unstage
 from modlens.llm.suffixes import common_prefixes, suffix_array
 
 #: Bytes of the gram whose smallest hash names a window's bucket; and, of the pieces of buckets that hold too many kinds, the
@@ -101,7 +101,7 @@ def find_pieces(docs: DataFrame, widths: tuple[int, ...], gram: int) -> DataFram
                 columns = (width.astype(np.int16), key, start.astype(np.int32), k.astype(np.int16), bucket.view(np.int64), content.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["width", "key", "start", "k", "bucket", "content"])
 
-    return docs.select("key", "raw").mapInArrow(made, "width short, key long, start int, k short, bucket long, content long")
+    return docs.select("key", "raw").mapInArrow(tidy(made), "width short, key long, start int, k short, bucket long, content long")
 
 
 def known_kinds(pieces: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(in_filter(bits.value, np.asarray(b.column("slot"))))).drop_columns(["slot"])
 
-    texts = docs.select("key", filter_slot("key").alias("slot"), "raw").mapInArrow(passed, "key long, raw binary")
+    texts = docs.select("key", filter_slot("key").alias("slot"), "raw").mapInArrow(tidy(passed), "key long, raw binary")
     each = wanted.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("start", "k", "bucket", "content", "block", "many")).alias("cuts"))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     names=["bucket", "content", "block", "many", "piece"],
                 )
 
-    return texts.join(each, F.col("key") == F.col("of")).select("raw", "cuts").mapInArrow(sliced, "bucket long, content long, block int, many boolean, piece binary")
+    return texts.join(each, F.col("key") == F.col("of")).select("raw", "cuts").mapInArrow(tidy(sliced), "bucket long, content long, block int, many boolean, piece binary")
 
 
 _FOUND = "bucket long, content long, begin int, until int, window long"
@@ -179,7 +179,7 @@ def sort_buckets(pieces: DataFrame, width: int, parts: int) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    return laid.mapInArrow(sorted_, _FOUND)
+    return laid.mapInArrow(tidy(sorted_), _FOUND)
 
 
 def placed(pieces: DataFrame, marks: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def sharing(docs: DataFrame, pieces: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(h.view(np.int64))], names=["bucket", "content", "many", "window"])
 
     of = wanted.select(F.col("bucket").alias("kb"), F.col("content").alias("kc"), "key")
-    rows = texts_of(docs, wanted, width).mapInArrow(windows, "bucket long, content long, many boolean, window long")
+    rows = texts_of(docs, wanted, width).mapInArrow(tidy(windows), "bucket long, content long, many boolean, window long")
     rows = stage(rows.join(of, (F.col("bucket") == F.col("kb")) & (F.col("content") == F.col("kc"))).select("bucket", "window", "key", "many"), "share-windows")
     twice = rows.groupBy("bucket", "window").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.bool_or("many").alias("any")).where("lo <> hi OR any")
     twice = stage(twice.select(F.col("bucket").alias("wb"), F.col("window").alias("ww")), "share-twice")
@@ -336,10 +336,10 @@ def remove_repeats(docs: DataFrame, width: int = 400, keep_text: bool = False, c
 
     raw = mine.select(*names, "key", filter_slot("key").alias("slot"), "raw")
     ddl = ", ".join(f"{c} {raw.schema[c].dataType.simpleString()}" for c in names)
-    clear = raw.mapInArrow(without, f"{ddl}, {_CUT}, shared int")
-    rest = raw.mapInArrow(maybe, f"{ddl}, key long, raw binary").join(spans.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
+    clear = raw.mapInArrow(tidy(without), f"{ddl}, {_CUT}, shared int")
+    rest = raw.mapInArrow(tidy(maybe), f"{ddl}, key long, raw binary").join(spans.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
     shared = F.coalesce("shared", F.lit(0)) if passage else F.lit(0)
-    rest = rest.select(*names, "raw", "spans", shared.cast("int").alias("shared")).mapInArrow(with_spans, f"{ddl}, {_CUT}, shared int")
+    rest = rest.select(*names, "raw", "spans", shared.cast("int").alias("shared")).mapInArrow(tidy(with_spans), f"{ddl}, {_CUT}, shared int")
     out = clear.union(rest).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "shared")
     return out.drop(*([] if keep_text else ["kept"]), *([] if passage else ["shared"]))
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import U, append_columns, byte_chunks, fold, free_name, read
+from modlens.llm.common import U, append_columns, byte_chunks, fold, free_name, read, tidy
 from modlens.llm.labelled import share
 
 ORDER = 4
@@ -136,7 +136,7 @@ def fit_languages(docs: DataFrame, learn: Column, bound: int, size: int) -> dict
                     k, c = np.unique(keys[np.repeat(langs[lo:hi] == lang, per)], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k), pa.string()), "gram": pa.array(k.astype(np.int64)), "n": pa.array(c.astype(np.int64))})
 
-    rows = sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = sample.mapInArrow(tidy(counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = rows.toArrow().to_pandas()
     return {lang: Ppm(p["gram"].to_numpy().astype(np.uint64), p["n"].to_numpy(float)) for lang, p in sorted(table.groupby("lang"))}
 

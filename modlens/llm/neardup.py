@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import Rolling, U, byte_chunks, filter_slot, free_name, in_filter, key_filter, lower_ascii, mix, read, stage, unstage, word_spans
+from modlens.llm.common import Rolling, U, byte_chunks, filter_slot, free_name, in_filter, key_filter, lower_ascii, mix, read, stage, tidy, unstage, word_spans
 from modlens.llm.graph import components
 
 COORDS = 512  # of a sketch; a power of two
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, width: int, bands: int) -> DataFrame:
                     names=["doc_id", "key", "node", "n", "sketch", "bands"],
                 )
 
-    return docs.select("doc_id", "key", "text").mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, node binary, n long, sketch array<long>, bands array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(tidy(made), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, node binary, n long, sketch array<long>, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -130,7 +130,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(sh.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(node_hashes(sh, cut), pa.binary()), lists], names=["of_node", "shingles"])
 
-    sets = docs.select(filter_slot("key").alias("slot"), "text").mapInArrow(made, "of_node binary, shingles array<long>")
+    sets = docs.select(filter_slot("key").alias("slot"), "text").mapInArrow(tidy(made), "of_node binary, shingles array<long>")
     # rows that pass the filter by chance may be of a wanted node too
     return sets.join(wanted.select("node"), F.col("of_node") == F.col("node")).groupBy("node").agg(F.first("shingles").alias("shingles"))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import append_columns, fold, free_name, read, stage, unstage
+from modlens.llm.common import append_columns, fold, free_name, give_back, read, stage, unstage
 from modlens.llm.labelled import sample_labelled
 
 BITS = 17
@@ -99,7 +99,10 @@ def fit_quality(sample: DataFrame) -> SubwordModel:
     docs = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<f4")) for _, _, a, b in rows]
     y = np.array([r[1] for r in rows], np.int64)
     some = [i for i, d in enumerate(docs) if len(d[0])]
-    return SubwordModel().fit([docs[i] for i in some], y[some])
+    model = SubwordModel().fit([docs[i] for i in some], y[some])
+    del rows, docs
+    give_back()
+    return model
 
 
 def score_quality(docs: DataFrame, model: SubwordModel, name: str = "score") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import append_columns, fold, free_name, read, stage, unstage
+from modlens.llm.common import append_columns, fold, free_name, give_back, read, stage, tidy, unstage
 from modlens.llm.labelled import sample_labelled
 
 BITS = 20
@@ -157,7 +157,7 @@ def fit_toxicity(sample: DataFrame, least_docs: int = 3, most_terms: int = 1 <<
             found = [sorted({t for w in set(x.lower().split()) for t in terms(w)}) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("at"), b.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["at", "y", "terms"])
 
-    held = stage(sample.select("text", "at", "y").mapInArrow(hashed, "at double, y int, terms array<int>"), "toxic-sample")
+    held = stage(sample.select("text", "at", "y").mapInArrow(tidy(hashed), "at double, y int, terms array<int>"), "toxic-sample")
     counts = held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("t").alias("k")).where(F.col("k") >= least_docs)
     used = np.sort(np.asarray(counts.orderBy(F.desc("k"), "t").limit(most_terms).select("t").toArrow()["t"], dtype=np.int32))
     got = held.toArrow()
@@ -176,7 +176,11 @@ def fit_toxicity(sample: DataFrame, least_docs: int = 3, most_terms: int = 1 <<
             rows.append(place[used[place] == x].astype(np.int32) if len(used) else np.zeros(0, np.int32))
     # in the order of `at`, so that the model doesn't depend on how the sample was partitioned
     order = np.lexsort(([len(r) for r in rows], y, np.asarray(got["at"])))
-    kept, fm = fit_sparse([rows[i] for i in order], y[order], len(used))
+    rows = [rows[i] for i in order]
+    del got, part, values
+    kept, fm = fit_sparse(rows, y[order], len(used))
+    del rows
+    give_back()
     return {int(t): i for i, t in enumerate(used[kept])}, fm
 
 
@@ -198,7 +202,7 @@ def score_toxicity(docs: DataFrame, rows: dict[int, int], fm: FactorizationMachi
     return append_columns(docs, f"`{free_name(docs, name)}` double", start)
 
 
-def train_on(docs: DataFrame, labels: DataFrame, bound: int, size: int = 48 << 20):
+def train_on(docs: DataFrame, labels: DataFrame, bound: int, size: int = 24 << 20):
     learn = F.crc32(F.col("label_id").cast("string").cast("binary")) % 4 != 2
     sample = sample_labelled(docs, labels, "toxic", learn, bound, size)
     model = fit_toxicity(sample)
@@ -208,7 +212,7 @@ def train_on(docs: DataFrame, labels: DataFrame, bound: int, size: int = 48 << 2
 
 def op1_toxicity(spark, sf_dir, bound: int = 20_000):
     """doc_id, held_out, score, predicted of every document. Learns from a sample of about `bound` labelled rows that
-    aren't held out, of 48 MB of text at most. A null id is held out; empty texts score as the bias says; very long texts
+    aren't held out, of about 24 MB of text at most. A null id is held out; empty texts score as the bias says; very long texts
     are read whole, each term counting once; equal texts score alike, so ties and repeated rows do too; an empty table
     gives no rows; other columns are ignored, whatever their names."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import read, stage, unstage
+from modlens.llm.common import read, stage, tidy, unstage
 from modlens.llm.graph import components
 
 BITS, TABLES = 64, 4
@@ -86,7 +86,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, most_bits: int = 16, s
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), b.column("dim"), pa.array(code)], names=["node", "label", "dim", "code"])
 
     label = classes.schema["label"].dataType.simpleString()
-    codes = stage(classes.select("node", "label", "dim", "embedding").mapInArrow(coded, f"node long, label {label}, dim int, code long"), "vec-codes")
+    codes = stage(classes.select("node", "label", "dim", "embedding").mapInArrow(tidy(coded), f"node long, label {label}, dim int, code long"), "vec-codes")
     tables = F.array(*[F.lit(t) for t in range(TABLES)])
     each = codes.withColumn("t", F.explode(tables)).withColumn("part", _shift("code", "t"))
     flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(SUB)]).cast("array<long>")
@@ -109,7 +109,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, most_bits: int = 16, s
 
     xs = classes.select(F.col("node").alias("a"), F.col("embedding").alias("x"), F.col("n").alias("na"))
     ys = classes.select(F.col("node").alias("b"), F.col("embedding").alias("y"), F.col("n").alias("nb"))
-    links = stage(pairs.join(xs, "a").join(ys, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(confirmed, "a long, b long, na long, nb long"), "vec-links")
+    links = stage(pairs.join(xs, "a").join(ys, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(tidy(confirmed), "a long, b long, na long, nb long"), "vec-links")
     roots = components(links).select(F.col("node").alias("at"), "root")
     both = links.select(F.col("a").alias("of"), F.col("nb").alias("n")).union(links.select("b", "na"))
     degree = both.groupBy("of").agg(F.sum("n").alias("others"))
