@@ -322,9 +322,10 @@ def test_article_text():
     assert pages.main_text("<article><p>" + "<b>deep " * 3000 + "end", tree).endswith("end")
 
 
-def test_tree_fits_its_table():
+def test_tree_learns_from_its_table():
     table = pages.labelled()
-    assert (pages.train().predict(table[:, :-1]) == table[:, -1]).all()
+    assert len(table) > 200 and 0.3 < table[:, -1].mean() < 0.7
+    assert (pages.train().predict(table[:, :-1]) == table[:, -1]).mean() > 0.97
 
 
 def test_pages_query(spark):
