@@ -248,15 +248,18 @@ class Hot:
 
 
 def hot_table(values: DataFrame, most: int) -> Hot:
-    """The keys with the highest counts, at most `most`: the bound of what is collected and broadcast."""
-    sizes = values.groupBy(F.least("all_n", F.lit(1 << 20)).alias("n")).agg(F.count("key").alias("keys")).collect()
-    least, total = 1 << 20, 0
-    for r in sorted(sizes, key=lambda r: -r["n"]):
-        total += r["keys"]
-        if total > most:
+    """The keys with the highest counts, about `most` at the most: the bound of what is collected and broadcast. Counts are
+    taken by eighths of their powers of two; of the first class that doesn't fit, a share of the keys by their hash."""
+    size = F.floor(8 * F.log2(F.greatest("all_n", F.lit(1)))).cast("int")
+    whole, share, left = 1 << 30, 0.0, most
+    for r in values.groupBy(size.alias("size")).agg(F.count("key").alias("keys")).orderBy(F.desc("size")).collect():
+        if r["keys"] > left:
+            share = left / r["keys"]
             break
-        least = r["n"]
-    got = values.where(F.col("all_n") >= least).select("key", "value", "all_n").toArrow()
+        whole, left = r["size"], left - r["keys"]
+    part = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    cut = F.when(size >= whole, True).otherwise((size == r["size"]) & (part < share)) if left < most or share else F.lit(False)
+    got = values.where(cut).select("key", "value", "all_n").toArrow()
     return Hot(got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy(), got.column("all_n").to_numpy(), most)
 
 
