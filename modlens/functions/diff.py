@@ -3,12 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 
+
+def common_lines(x: list[str], y: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Steps (op, first and last + 1 of x, of y) that keep a longest common subsequence, from its table of lengths."""
+    ids: dict[str, int] = {}
+    a, b = (np.array([ids.setdefault(line, len(ids)) for line in lines], np.int64) for lines in (x, y))
+    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in range(len(x) - 1, -1, -1):
+        # a row's best is the diagonal plus one where lines agree, or what stands below or to the right
+        row = np.maximum(best[i + 1, :-1], np.where(b == a[i], best[i + 1, 1:] + 1, 0))
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and a[i] == b[j]:
+            step = ("equal", i, i + 1, j, j + 1)
+        elif j == len(y) or i < len(x) and best[i + 1, j] >= best[i, j + 1]:
+            step = ("delete", i, i + 1, j, j)
+        else:
+            step = ("insert", i, i, j, j + 1)
+        out.append(step)
+        i, j = step[2], step[4]
+    return out
+
+
 def line_diff(before: str, after: str, context: int = 3, most_cells: int = 250_000) -> list[tuple[str, int | None, int | None, str]]:
     """(op, line before, line after, text) with op same, add, del or skip (text: how many equal lines are folded away).
 
@@ -23,7 +46,7 @@ def line_diff(before: str, after: str, context: int = 3, most_cells: int = 250_0
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     if len(x) * len(y) <= most_cells:
-        codes = SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+        codes = common_lines(x, y)
     else:
         n = min(len(x), len(y))
         codes = [("equal" if x[i] == y[i] else "replace", i, i + 1, i, i + 1) for i in range(n)] + [("replace", n, len(x), n, len(y))]

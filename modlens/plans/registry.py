@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from modlens.functions import conversation, decisions, protocol, text
 from modlens.operators import relational
-from modlens.plans import boards, lifecycle, quota, stats
+from modlens.plans import boards, lifecycle, quota, stats, transitions
 from modlens.sources import sinks
 from modlens.sources.oracle import sql
 from modlens.sources.tables import Tables
@@ -159,9 +159,9 @@ query("f31_zone_buckets", lambda t: t.actions.groupBy(F.date_trunc("day", F.from
 
 
 def _enforced(t: Tables) -> DataFrame:
-    users = t.users.select(F.col("id").alias("uid"), "role")
+    users = t.users.select(F.col("id").alias("uid"), "role", F.col("status").alias("user_status"))
     jobs = t.jobs.where("status = 'done'").join(users, F.col("user_id") == F.col("uid"))
-    rows = jobs.select("id", "user_id", F.col("enforcement_eligible").alias("eligible"), F.col("violation_counted").alias("violation"), "run_mode", "role", F.expr("CASE WHEN category_code = 'R09' THEN 'notice_only' WHEN category_code = 'R08' THEN 'immediate_disable' ELSE '' END").alias("disposition"))
+    rows = jobs.select("id", "user_id", F.col("enforcement_eligible").alias("eligible"), F.col("violation_counted").alias("violation"), "run_mode", "role", "user_status", F.expr("CASE WHEN category_code = 'R09' THEN 'notice_only' WHEN category_code = 'R08' THEN 'immediate_disable' ELSE '' END").alias("disposition"))
     return folds.run_batch(rows, "user_id", ["id"], folds.moving(folds.enforce, limit=1, window=5, disable_limit=2), "user_id long, job_id long, action string, counted long")
 
 
@@ -210,7 +210,7 @@ query("g24_rate_windows", quota.rate_windows, "SELECT user_id, date_trunc('minut
 query("g25_kept_jobs", lambda t: lifecycle.kept_jobs(t).select("id", "status"), "SELECT id, status FROM jobs WHERE created_at >= TIMESTAMP '1995-06-01' OR status = 'queued'")
 query("g26_erased_texts", lifecycle.erased_texts, "SELECT DISTINCT hash_key FROM targets WHERE job_id IN (SELECT id FROM jobs WHERE user_id = 7) AND hash_key NOT IN (SELECT hash_key FROM targets WHERE job_id NOT IN (SELECT id FROM jobs WHERE user_id = 7)) AND hash_key NOT IN (SELECT hash_key FROM trust) AND hash_key NOT IN (SELECT hash_key FROM breakers)")
 query("g27_next_round", lifecycle.next_round, "SELECT job_id, round + 1 AS round, target_order, hash_key, kind FROM targets t JOIN jobs j ON j.id = job_id AND round = current_round WHERE j.decision = 'block'")
-query("g28_policy_replay", lifecycle.policy_replay, "SELECT id, expected, CASE WHEN b >= n // 2 + 1 THEN 'block' WHEN b + r > 0 THEN 'review' ELSE 'pass' END AS decision FROM (SELECT s.id, s.expected, count(*) FILTER (WHERE x >= 60) AS b, count(*) FILTER (WHERE x >= 30 AND x < 60) AS r, count(*) AS n FROM (SELECT s.*, (s.id * 31 + model_id * 17) % 100 AS x FROM samples s CROSS JOIN (SELECT model_id FROM nodes WHERE enabled ORDER BY model_id LIMIT 64)) s GROUP BY 1, 2)")
+query("g28_policy_replay", lifecycle.policy_replay, "SELECT id, expected, CASE WHEN b >= n // 2 + 1 THEN 'block' WHEN b + r > 0 THEN 'review' ELSE 'pass' END AS decision FROM (SELECT s.id, s.expected, count(*) FILTER (WHERE x >= 60) AS b, count(*) FILTER (WHERE x >= 30 AND x < 60) AS r, count(*) AS n FROM (SELECT s.*, (s.id * 31 + model_id * 17) % 100 AS x FROM samples s CROSS JOIN (SELECT model_id FROM nodes WHERE enabled)) s GROUP BY 1, 2)")
 
 # --- read products ------------------------------------------------------------------------------------------------------------------
 
@@ -220,3 +220,8 @@ query("h5_risk_users_recent", lambda t: boards.risk_users(t, "last_block_at", nu
 query("h5_risk_users_keyword", lambda t: boards.risk_users(t, "violations", keyword="12"), _RISK + "WHERE coalesce(username, '') ILIKE '%12%' OR coalesce(email, '') ILIKE '%12%' OR a.user_id = 12 ORDER BY violations DESC, a.user_id LIMIT 20")
 query("h15_audit_users", boards.audit_users, "SELECT u.id, lower(username) AS username, coalesce(n, 0)::BIGINT AS jobs, n IS NOT NULL AS has_jobs FROM users u LEFT JOIN (SELECT user_id, count(*) AS n FROM jobs GROUP BY 1) j ON j.user_id = u.id WHERE NOT deleted AND u.status = 'active'")
 query("h19_subscriptions", quota.subscriptions, f"SELECT u.id AS subscription_id, u.id AS user_id, group_id, username, platform FROM {_SUBS}")
+
+# --- configuration, admission, delivery ---------------------------------------------------------------------------------------------
+
+for _name, _make, _sql in transitions.REPORTS:
+    query(_name, _make, _sql)

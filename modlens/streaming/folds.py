@@ -8,7 +8,6 @@ user, an instruction hash, a node or an account epoch, and holds that one's hist
 from __future__ import annotations
 
 import json
-from collections import deque
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -55,7 +54,7 @@ def run_stream(df: DataFrame, key: str, order: list[str], fold: Fold, schema: st
 def enforce(state: dict, job: dict, limit: int = 3, window: int = 10, disable_limit: int = 5, rule: str = "r1", escalate: bool = True) -> tuple[dict, list[dict]]:
     """Warning, escalation and disabling, a job at a time in the order of ids.
 
-    job: id, user_id, eligible, violation, run_mode, role, disposition ('', immediate_disable or notice_only). The warning
+    job: id, user_id, eligible, violation, run_mode, role, user_status, disposition ('', immediate_disable or notice_only). The warning
     looks at the last `window` eligible jobs after the rule was set; it fires once and is armed again when the window
     falls below the limit. Escalation follows the first warning of an async user. A disable needs disable_limit counted
     violations of an active user, or a category that disables at once; a notice-only category never disables.
@@ -77,7 +76,7 @@ def enforce(state: dict, job: dict, limit: int = 3, window: int = 10, disable_li
             if escalate and job["run_mode"] == "async" and not s["escalated"]:
                 s["escalated"] = True
                 actions.append("escalation")
-        may = bad and job["role"] == "user" and job["disposition"] != "notice_only"
+        may = bad and job["role"] == "user" and job.get("user_status", "active") == "active" and job["disposition"] != "notice_only"
         if may and (s["count"] >= disable_limit or job["disposition"] == "immediate_disable"):
             actions.append("disable")
     return s, [{"user_id": job["user_id"], "job_id": job["id"], "action": a, "counted": s["count"]} for a in actions]
@@ -125,13 +124,22 @@ def throttle(state: dict, notice: dict, gap_s: int = 3600) -> tuple[dict, list[d
 MISCONFIGURED = frozenset(("invalid_model", "node_unavailable", "credential_binding_unavailable", "audit_node_recursion"))
 
 
+#: Stages whose failures are the node's.
+HEALTH_STAGES = frozenset(("config", "model_request", "response_parse"))
+
+
 def node_health(state: dict, call: dict) -> tuple[dict, list[dict]]:
     """healthy, degraded after one failure, cooldown after two in a row or a rate limit, misconfigured by its own fault.
 
-    call: model_id, at_s, latency_ms, error ('' if it succeeded), retryable, retry_after_s. The latency is smoothed: a
+    call: model_id, at_s, latency_ms, error ('' if it succeeded), stage, retryable, retry_after_s. A failure of another
+    stage than HEALTH_STAGES says nothing of the node. The first call after a cooldown is a probe of a half open node. The latency is smoothed: a
     fifth of the new value and four fifths of the old.
     """
     s = {"health": "unknown", "fails": 0, "opened": 0, "until": None, "latency": None} | state
+    if call["error"] and call.get("stage", "model_request") not in HEALTH_STAGES:
+        return s, []
+    if s["health"] == "cooldown" and s["until"] is not None and call["at_s"] >= s["until"]:
+        s["health"] = "half_open"  # its cooldown is over: this call is the probe
     if call["latency_ms"] and call["latency_ms"] > 0:
         s["latency"] = float(call["latency_ms"]) if s["latency"] is None else 0.2 * call["latency_ms"] + 0.8 * s["latency"]
     error = call["error"]
@@ -220,7 +228,3 @@ def token_bucket(state: dict, request: dict, burst: float = 40, rate: float = 20
 def moving(fold: Fold, **settings) -> Fold:
     """The fold with other settings than its defaults."""
     return partial(fold, **settings)
-
-
-def last_n(values, n: int) -> list:
-    return list(deque(values, n))

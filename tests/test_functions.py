@@ -311,3 +311,19 @@ def test_hourly_stream(spark, tmp_path):
     got = {r["hour"]: r["jobs"] for r in streams.run_to_table(streams.hourly_counts(live), "hours_out", str(tmp_path / "c"), "update").collect()}
     want = {r["hour"]: r["n"] for r in events.groupBy(F.date_trunc("hour", "ts").cast("timestamp").alias("hour")).agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_diff_keeps_a_longest_common_subsequence():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        steps = diff.common_lines(x, y)
+        assert sum(s[0] == "equal" for s in steps) == best[0][0]
+        assert [v for s in steps if s[0] != "insert" for v in x[s[1] : s[2]]] == x and [v for s in steps if s[0] != "delete" for v in y[s[3] : s[4]]] == y
+        assert all(x[s[1]] == y[s[3]] for s in steps if s[0] == "equal")
