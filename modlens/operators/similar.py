@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlens.functions.text import hamming
 
-BANDS = 4
+MOST = 3  # different bits
+BLOCKS = MOST + 3  # however the bits fall, three blocks are equal: keys of about 32 bits, in 20 tables
+WIDTHS = [64 * (i + 1) // BLOCKS - 64 * i // BLOCKS for i in range(BLOCKS)]
+
+
+def _keys(simhash: str) -> Column:
+    """For each choice of three blocks their bits, with zeros elsewhere."""
+    starts = [sum(WIDTHS[:i]) for i in range(BLOCKS)]
+    masks = [((1 << w) - 1) << s for w, s in zip(WIDTHS, starts)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return F.array(*[F.col(simhash).bitwiseAND(F.lit(signed(sum(c))).cast("long")) for c in combinations(masks, 3)])
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, most: int = 3) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFrame:
     """a, b, distance of rows (id, simhash) of left and right with different ids and at most `most` different bits.
 
-    With `most` below BANDS one of the BANDS parts of two such hashes is equal, so the join on (part, bits) misses
+    With `most` up to MOST, three of the BLOCKS parts of two such hashes are equal, so the join on (choice, bits) misses
     none. Rows of one hash are one class: classes are joined, then their members are listed, so a hash that many rows
     share isn't compared with itself row by row.
     """
-    if most >= BANDS:
-        raise ValueError("more different bits than parts")
-    width = 64 // BANDS
+    if most > MOST:
+        raise ValueError("more different bits than the tables find")
 
     def banded(df: DataFrame, name: str) -> DataFrame:
-        parts = F.array(*[F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BANDS)])
-        return df.where("simhash IS NOT NULL").select(F.col("simhash")).distinct().select(F.col("simhash").alias(name), F.posexplode(parts).alias(f"{name}_band", f"{name}_bits"))
+        hashes = df.where("simhash IS NOT NULL").select(F.col("simhash").alias(name)).distinct()
+        return hashes.select(name, F.posexplode(_keys(name)).alias(f"{name}_band", f"{name}_bits"))
 
     a, b = banded(left, "ha"), banded(right, "hb")
     d = hamming(F.col("ha"), F.col("hb"))

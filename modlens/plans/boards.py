@@ -127,7 +127,8 @@ def trust_search(t: Tables, query: str = "12") -> DataFrame:
 
 def breaker_list(t: Tables) -> DataFrame:
     """Breakers with a preview, the users of their hash (the first 20) and whether it is trusted."""
-    users = t.targets.where("kind = 'instruction'").join(t.jobs.select("id", "user_id"), F.col("job_id") == F.col("id")).groupBy(F.col("hash_key").alias("h")).agg(F.slice(F.array_sort(F.collect_set("user_id")), 1, 20).alias("users"))
+    users = t.targets.where("kind = 'instruction'").join(t.jobs.select("id", "user_id"), F.col("job_id") == F.col("id")).select(F.col("hash_key").alias("h"), "user_id").distinct()
+    users = latest_per(users, ["h"], [F.col("user_id")], 20).groupBy("h").agg(F.array_sort(F.collect_list("user_id")).alias("users"))
     texts = t.texts.select(F.col("hash_key").alias("th"), F.left("text", F.lit(500)).alias("preview"))
     out = t.breakers.join(texts, F.col("hash_key") == F.col("th"), "left").join(users, F.col("hash_key") == F.col("h"), "left")
     return flag(out, t.trust, "hash_key", "trusted").select("hash_key", "status", "distinct_users", "preview", F.coalesce(F.array_join(F.transform("users", lambda u: u.cast("string")), ","), F.lit("")).alias("users"), "trusted")

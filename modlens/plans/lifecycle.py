@@ -56,9 +56,10 @@ def reaudit_estimate(t: Tables) -> DataFrame:
 def reaudit_plan(t: Tables, most: int = 200) -> DataFrame:
     """What a re-audit of all failed and queued jobs would do: the first `most` ready ones go, the others are skipped."""
     ready = F.col("status").isin("done", "failed", "skipped")
-    w = Window.partitionBy(ready).orderBy("id")
-    jobs = t.jobs.where("decision = 'block' OR status = 'queued'").withColumn("r", F.row_number().over(w))
-    return jobs.select("id", F.when(~ready, "already_running").when(F.col("r") > most, "skipped").otherwise("requeued").alias("outcome"))
+    jobs = t.jobs.where("decision = 'block' OR status = 'queued'")
+    first = jobs.where(ready).orderBy("id").limit(most).select(F.col("id").alias("first_id"))
+    jobs = jobs.join(F.broadcast(first), F.col("id") == F.col("first_id"), "left")  # `most` rows at the most
+    return jobs.select("id", F.when(~ready, "already_running").when(F.col("first_id").isNull(), "skipped").otherwise("requeued").alias("outcome"))
 
 
 def next_round(t: Tables) -> DataFrame:

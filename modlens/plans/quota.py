@@ -62,8 +62,8 @@ def requalified(t: Tables) -> DataFrame:
     return j.select("item", F.when(F.col("subscription_id").isNull(), "gone").when(~F.col("old_group").eqNullSafe(F.col("group_id")), "moved").otherwise("valid").alias("state"))
 
 
-def reset_records(t: Tables, keyword: str = "00000001") -> DataFrame:
-    """Records of all windows, with the window's own usage, by a keyword in name or ids."""
+def reset_records(t: Tables, keyword: str = "") -> DataFrame:
+    """Records of all windows, with the window's own usage, by a keyword in name or ids; none means all."""
     r = subscriptions(t).withColumn("window", F.explode(F.array(*[F.lit(w) for w in WINDOWS])))
     snapshot = F.to_json(F.struct((F.col("user_id") * 2).alias("daily_usage_usd"), (F.col("user_id") * 3).alias("weekly_usage_usd"), (F.col("user_id") * 5).alias("monthly_usage_usd")))
     r = r.withColumn("s", snapshot)

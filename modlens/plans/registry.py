@@ -83,7 +83,8 @@ query("b3_category_jobs", boards.category_jobs, "SELECT id, user_id, array_to_st
 query("b5_action_list", boards.action_list, "SELECT id, user_id, execution_status, notification_status, requested_at, json_extract_string(business_snapshot, '$.k') AS k FROM actions WHERE execution_status IN ('failed', 'unknown') AND requested_at >= TIMESTAMP '2024-01-05' AND requested_at < TIMESTAMP '2024-01-20' ORDER BY id DESC LIMIT 50")
 query("b8_trust_search", boards.trust_search, "SELECT t.hash_key, left(text, 500) AS preview FROM texts t JOIN trust USING (hash_key) WHERE CAST(t.hash_key AS varchar) LIKE '12%' OR text ILIKE '%12%'")
 query("b13_monitor_candidates", quota.monitor_candidates, "SELECT id, concat_ws(',', CASE WHEN status <> 'active' THEN 'inactive' END, CASE WHEN deleted THEN 'deleted' END, CASE WHEN role <> 'user' THEN 'not_user' END, CASE WHEN balance < 0 THEN 'overdrawn' END) AS problems FROM users")
-query("b19_reset_records", quota.reset_records, "SELECT u.id AS subscription_id, w AS \"window\", CAST(u.id * CASE w WHEN 'daily' THEN 2 WHEN 'weekly' THEN 3 ELSE 5 END AS varchar) AS usage FROM users u JOIN grps g ON g.id = group_id CROSS JOIN (SELECT unnest(['daily', 'weekly', 'monthly']) AS w) WHERE NOT deleted AND status = 'active' AND role = 'user' AND platform IN ('ASIA', 'EUROPE') AND (username ILIKE '%00000001%' OR CAST(u.id AS varchar) ILIKE '%00000001%')")
+query("b19_reset_records", quota.reset_records, "SELECT u.id AS subscription_id, w AS \"window\", CAST(u.id * CASE w WHEN 'daily' THEN 2 WHEN 'weekly' THEN 3 ELSE 5 END AS varchar) AS usage FROM users u JOIN grps g ON g.id = group_id CROSS JOIN (SELECT unnest(['daily', 'weekly', 'monthly']) AS w) WHERE NOT deleted AND status = 'active' AND role = 'user' AND platform IN ('ASIA', 'EUROPE')")
+query("b19_reset_records_keyword", lambda t: quota.reset_records(t, "00000001"), "SELECT u.id AS subscription_id, w AS \"window\", CAST(u.id * CASE w WHEN 'daily' THEN 2 WHEN 'weekly' THEN 3 ELSE 5 END AS varchar) AS usage FROM users u JOIN grps g ON g.id = group_id CROSS JOIN (SELECT unnest(['daily', 'weekly', 'monthly']) AS w) WHERE NOT deleted AND status = 'active' AND role = 'user' AND platform IN ('ASIA', 'EUROPE') AND (username ILIKE '%00000001%' OR CAST(u.id AS varchar) ILIKE '%00000001%')")
 
 # --- joins ----------------------------------------------------------------------------------------------------------------
 
