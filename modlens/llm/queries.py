@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modlens.llm import ctw, decontamination, dedup_spans, language, mixing, neardup, pages, quality, toxicity, vectors
+from modlens.llm import audit, ctw, decontamination, dedup_spans, language, mixing, neardup, pages, quality, toxicity, vectors
 
 
 def queries():
@@ -17,9 +17,10 @@ def queries():
         neardup.op8_near_duplicates,
         decontamination.op9_benchmark_passages,
         mixing.op10_mix_sources,
+        audit.op11_filter_audit,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op10_mix_sources": mixing.SQL}
+    return {"op10_mix_sources": mixing.SQL, "op11_filter_audit": audit.SQL}
