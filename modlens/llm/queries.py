@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modlens.llm import audit, ctw, decontamination, dedup_spans, language, mixing, neardup, pages, quality, toxicity, vectors
+from modlens.llm import audit, ctw, decontamination, dedup_spans, fingerprints, language, mixing, neardup, pages, quality, toxicity, vectors
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         decontamination.op9_benchmark_passages,
         mixing.op10_mix_sources,
         audit.op11_filter_audit,
+        fingerprints.op13_document_fingerprints,
     ]
     return {f.__name__: f for f in found}
 
