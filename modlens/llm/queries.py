@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modlens.llm import audit, ctw, decontamination, dedup_spans, fingerprints, language, mixing, neardup, pages, quality, toxicity, vectors
+from modlens.llm import audit, ctw, decontamination, dedup_spans, fingerprints, language, mixing, neardup, pages, quality, toxicity, tries, vectors
 
 
 def queries():
@@ -18,10 +18,11 @@ def queries():
         decontamination.op9_benchmark_passages,
         mixing.op10_mix_sources,
         audit.op11_filter_audit,
+        tries.op12_conversation_trie,
         fingerprints.op13_document_fingerprints,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op10_mix_sources": mixing.SQL, "op11_filter_audit": audit.SQL}
+    return {"op10_mix_sources": mixing.SQL, "op11_filter_audit": audit.SQL, "op12_conversation_trie": tries.SQL}
