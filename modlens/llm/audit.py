@@ -8,7 +8,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.common import WORD, read
+from modlens.llm.common import WORD, read, stage
 
 #: The letter of the filter that looks at the whole table; the others look at one text.
 COPIES = "E"
@@ -41,7 +41,7 @@ def failure_cells(docs: DataFrame, labels: DataFrame, filters: Mapping[str, Colu
         own = own.bitwiseOR(b)
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "part", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), own.alias("mask"))
-    rows = rows.groupBy("doc_id", "part", "digest", "mask").agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(rows.groupBy("doc_id", "part", "digest", "mask").agg(F.count(F.lit(1)).alias("n")), "audit-rows")
     marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of_id"))
     marks = marks.agg(F.max(F.expr("int(coalesce(quality = 1, false))")).alias("good"), F.max(F.expr("int(coalesce(toxic = 1, false))")).alias("toxic"))
     salt = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.xxhash64("digest", "part"), F.lit(SPREAD))).otherwise(F.lit(0))
