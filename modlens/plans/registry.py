@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from modlens.functions import conversation, decisions, protocol, text
 from modlens.operators import relational
-from modlens.plans import boards, clients, lifecycle, quota, stats, transitions
+from modlens.plans import boards, bodies, clients, lifecycle, quota, stats, transitions
 from modlens.sources import sinks
 from modlens.sources.oracle import sql
 from modlens.sources.tables import Tables
@@ -224,5 +224,5 @@ query("h19_subscriptions", quota.subscriptions, f"SELECT u.id AS subscription_id
 
 # --- configuration, admission, delivery ---------------------------------------------------------------------------------------------
 
-for _name, _make, _sql in [*transitions.REPORTS, *clients.REPORTS]:
+for _name, _make, _sql in [*transitions.REPORTS, *clients.REPORTS, *bodies.REPORTS]:
     query(_name, _make, _sql)

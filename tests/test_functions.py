@@ -7,7 +7,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from modlens.functions import conversation, decisions, diff, protocol, requests, score, text
+from modlens.functions import conversation, decisions, diff, protocol, score, text
 from modlens.operators import filters, relational, similar
 from modlens.plans import lifecycle
 from modlens.sources import sinks
@@ -131,10 +131,10 @@ def test_paths_and_clients(spark):
 
 
 def test_replies(spark):
-    stream = 'event: x\ndata: {"type":"response.created","response":{"id":"r1"}}\ndata: {"delta":"Hel"}\ndata: {"delta":"lo"}\ndata: [DONE]\n'
+    stream = 'event: x\ndata: {"type":"response.created","response":{"id":"r1"}}\ndata: [DONE]\n'
     assert one(spark, protocol.response_id(F.lit(stream))) == "r1" and one(spark, protocol.response_id(F.lit('{"id":"q"}'))) == "q"
-    assert one(spark, protocol.stream_text(F.lit(stream))) == "Hello"
-    assert one(spark, protocol.stream_text(F.lit(stream + 'data: {"response":{"output_text":"Whole"}}'))) == "Whole"
+    chat = 'data: {"choices":[{"delta":{"role":"assistant"}}]}\n\ndata: {"choices":[{"delta":{"content":"Hel"}}]}\r\ndata: {"choices":[{"delta":{"content":"lo"}}]}\ndata: [DONE]'
+    assert one(spark, protocol.chat_stream_text(F.lit(chat))) == "Hello"
 
 
 @pytest.mark.parametrize(
@@ -145,21 +145,8 @@ def test_score_contract(spark, reply, error):
     assert one(spark, score.score_contract(F.lit(reply).cast("string")))["error"] == error
 
 
-def test_requests():
-    chat = '{"system":[{"type":"text","text":"S"}],"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"},{"role":"user","content":[{"type":"tool_result"},{"type":"text","text":"c"}]}]}'
-    assert [m[1:3] for m in requests.messages("anthropic_messages", chat)] == [("instruction", "S"), ("user", "a"), ("assistant", "b"), ("tool", ""), ("user", "c")]
-    assert [m[1:3] for m in requests.messages("responses", '{"response":{"instructions":"I","input":"hi"}}')] == [("instruction", "I"), ("user", "hi")]
-    gemini = '{"systemInstruction":{"parts":[{"text":"S"}]},"contents":[{"role":"user","parts":[{"text":"q"}]},{"role":"model","parts":[{"text":"r"}]}]}'
-    assert [m[1:3] for m in requests.messages("gemini", gemini)] == [("instruction", "S"), ("user", "q"), ("assistant", "r")]
-    assert [m[2] for m in requests.messages("openai_embeddings", '{"input":["x","y"]}')] == ["x", "y"]
-    assert [m[2:] for m in requests.messages("media", '{"b":{"prompt":"p"},"a":{"input":"data:image/png;base64,x"}}')] == [("", True), ("p", False)]
-    assert requests.messages("chat_completions", "not json") == requests.messages("chat_completions", "[]") == requests.messages("gemini", None) == []
-
-
 def test_table_functions(spark):
-    requests.register(spark)
     diff.register(spark)
-    assert spark.sql("""SELECT role, text FROM request_messages('openai_embeddings', '{"input":"x"}')""").collect()[0]["text"] == "x"
     assert [(r["op"], r["text"]) for r in spark.sql("SELECT * FROM line_diff('a\\nb\\nc', 'a\\nx\\nc') ORDER BY place").collect()] == [("same", "a"), ("del", "b"), ("add", "x"), ("same", "c")]
 
 
