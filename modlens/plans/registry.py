@@ -13,7 +13,7 @@ from modlens.plans import boards, bodies, clients, lifecycle, quota, stats, tran
 from modlens.sources import sinks
 from modlens.sources.oracle import sql
 from modlens.sources.tables import Tables
-from modlens.streaming import folds, streams
+from modlens.streaming import admission, folds, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,12 +197,141 @@ def _resets(t: Tables) -> DataFrame:
 
 
 query("g1_sessions", lambda t: streams.user_sessions(t.raw("events")).select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n"), "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
-query("g6_enforcement", _enforced)
+def _with_back(t: Tables) -> DataFrame:
+    """The events with `back`, the id of the same user's event before, or the one three before that."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t.raw("events").withColumn("back", F.when(F.col("event_id") % 2 == 0, F.lag("event_id", 1).over(w)).otherwise(F.lag("event_id", 4).over(w)))
+
+
+#: Each row of the log takes its user's tables one step on; maps hold what was entered and when it was used last.
+_ADMISSION = """
+SELECT user_id, id, kind, job_id, error, turn FROM (
+WITH RECURSIVE events1 AS (
+  SELECT *, CASE WHEN event_id % 2 = 0 THEN lag(event_id, 1) OVER w ELSE lag(event_id, 4) OVER w END AS back, epoch_us(ts) AS us, floor(value * 100)::BIGINT AS cents, user_id || ':f' || (json_extract_string(props, '$.k')::BIGINT % 3) AS turn
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), log AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tm, tag, id) AS n FROM (
+    SELECT user_id, us AS tm, 0 AS tag, event_id AS id, turn, event_type IN ('click', 'error') AS goes_on, CASE WHEN event_type = 'click' THEN 'r' || back END AS previous, value < 20 AS blocking, NULL AS status, NULL AS decision FROM events1
+    UNION ALL SELECT user_id, us + CASE WHEN cents % 7 = 0 THEN 86400000000 ELSE cents * 100000 END, 1, event_id, turn, false, NULL, false, CASE WHEN cents % 11 = 0 THEN 'failed' ELSE 'done' END, CASE WHEN cents % 11 = 0 THEN '' WHEN cents % 10 = 0 THEN 'block' WHEN cents % 10 < 3 THEN 'review' ELSE 'pass' END FROM events1
+    UNION ALL SELECT user_id, us + 30000000, 2, event_id, turn, false, NULL, false, NULL, NULL FROM events1 WHERE event_type <> 'view')
+), run AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, MAP([], [])::MAP(VARCHAR, STRUCT(job BIGINT, status VARCHAR, decision VARCHAR, tm BIGINT)) AS turns, MAP([], [])::MAP(VARCHAR, STRUCT(turn VARCHAR, tm BIGINT)) AS replies, MAP([], [])::MAP(BIGINT, BIGINT) AS jobs,
+    NULL::BIGINT AS id, NULL::VARCHAR AS kind, NULL::BIGINT AS job_id, NULL::VARCHAR AS error, NULL::VARCHAR AS turn FROM log
+  UNION ALL
+  SELECT user_id, n,
+    CASE WHEN tag = 0 AND hit IS NULL THEN map_concat(turns, MAP([turn], [{'job': id, 'status': 'queued', 'decision': '', 'tm': tm}])) WHEN tag = 0 THEN map_concat(turns, MAP([found], [{'job': hit.job, 'status': hit.status, 'decision': hit.decision, 'tm': tm}]))
+      WHEN tag = 1 AND tm - jobs[id] < 43200000000 THEN map_concat(turns, MAP([turn], [{'job': id, 'status': status, 'decision': decision, 'tm': tm}])) ELSE turns END,
+    CASE WHEN tag = 2 THEN map_concat(replies, MAP(['r' || id], [{'turn': turn, 'tm': tm}])) WHEN told IS NOT NULL THEN map_concat(replies, MAP([previous], [{'turn': told, 'tm': tm}])) ELSE replies END,
+    CASE WHEN tag = 0 AND hit IS NULL THEN map_concat(jobs, MAP([id], [tm])) ELSE jobs END,
+    CASE WHEN tag = 0 THEN id END,
+    CASE WHEN hit IS NULL THEN 'new' WHEN hit.status = 'done' AND hit.decision = 'block' THEN 'block' WHEN hit.status = 'done' AND hit.decision = 'review' THEN 'flag' WHEN hit.status = 'done' OR NOT blocking THEN 'allow' ELSE 'wait' END,
+    CASE WHEN hit IS NULL THEN id ELSE hit.job END, CASE WHEN hit.status = 'done' AND hit.decision = 'block' THEN 'third_party_audit_blocked' END, coalesce(found, turn)
+  FROM (SELECT *, CASE WHEN tag = 0 THEN CASE WHEN goes_on AND tm - turns[bound].tm < 43200000000 THEN bound WHEN tm - turns[turn].tm < 43200000000 THEN turn END END AS found, turns[found] AS hit
+    FROM (SELECT *, CASE WHEN tag = 0 AND goes_on AND previous IS NOT NULL AND tm - replies[previous].tm < 43200000000 THEN replies[previous].turn END AS told, coalesce(told, turn) AS bound
+      FROM (SELECT l.*, r.turns, r.replies, r.jobs FROM run r JOIN log l ON l.user_id = r.user_id AND l.n = r.n + 1)))
+) SELECT * FROM run WHERE id IS NOT NULL)
+"""
+
+
+query("g2_admission", lambda t: admission.admitted(admission.event_log(_with_back(t)), ttl=12 * 3_600_000_000), _ADMISSION)
+def _history(t: Tables) -> DataFrame:
+    """A user's jobs, later rounds and account actions in one log. The events of a month stand for actions over the jobs' years."""
+    users = t.users.select(F.col("id").alias("uid"), "role", F.col("status").alias("user_status"))
+    done = t.jobs.where("status = 'done'").join(users, F.col("user_id") == F.col("uid"))
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    level = F.expr("CASE WHEN category_code = 'R09' THEN 'notice_only' WHEN category_code = 'R08' THEN 'immediate_disable' ELSE '' END")
+    jobs = done.select("user_id", at.alias("at"), F.lit(folds.JOB).alias("tag"), "id", F.lit(True).alias("ok"), F.col("enforcement_eligible").alias("eligible"), F.col("violation_counted").alias("violation"), "run_mode", "role", "user_status", level.alias("disposition"), at.alias("created"), "price")
+    rounds = jobs.where("violation AND price % 3 = 0").withColumns({"tag": F.lit(folds.REAUDIT), "at": F.col("at") + F.when(F.col("price") % 2 == 0, 40).otherwise(400) * F.lit(86_400_000_000)})
+    start, month = (F.unix_micros(F.lit(x).cast("timestamp")) for x in ("1995-01-01", "2024-01-01"))
+    kind = F.when(F.col("event_type") == "signup", folds.RESET).when(F.col("event_type") == "purchase", folds.RESET_DONE).when(F.col("event_type").isin("click", "error"), folds.SENT)
+    none = {"eligible": "boolean", "violation": "boolean", "run_mode": "string", "role": "string", "user_status": "string", "disposition": "string", "created": "long"}
+    moved = start + (F.unix_micros(F.col("requested_at").cast("timestamp")) - month) * 80
+    acts = t.actions.select("user_id", moved.alias("at"), kind.alias("tag"), "id", (F.col("event_type") == "click").alias("ok"), *[F.lit(None).cast(k).alias(n) for n, k in none.items()]).where("tag IS NOT NULL")
+    return jobs.drop("price").unionByName(rounds.drop("price")).unionByName(acts)
+
+
+def _with_resets(t: Tables) -> DataFrame:
+    return folds.run_batch(_history(t), "user_id", ["at", "tag", "id"], folds.moving(folds.enforce_all, limit=1, window=5, disable_limit=2), "user_id long, tag long, id long, action string, counted long")
+
+
+#: Enforcement a row of a user's log at a time; the state is in columns. alone is true for jobs without what comes later.
+_ENFORCEMENT = """
+SELECT user_id, {columns}, unnest(acts) AS action, counted FROM (
+WITH RECURSIVE jobs1 AS (
+  SELECT j.id, j.user_id, epoch_us(created_at) AS us, enforcement_eligible AS eligible, violation_counted AS violation, run_mode, u.role, u.status AS user_status, CASE category_code WHEN 'R09' THEN 'notice_only' WHEN 'R08' THEN 'immediate_disable' ELSE '' END AS disposition, price
+  FROM jobs j JOIN users u ON u.id = j.user_id WHERE j.status = 'done'
+), log AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS n FROM (SELECT id, user_id, us AS tm, 0::BIGINT AS tag, true AS ok, us AS created, eligible, violation, run_mode, role, user_status, disposition FROM jobs1{later})
+), run AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS id, 0::BIGINT AS tag, [{{'id': 0::BIGINT, 'bad': false}}][1:0] AS recent, true AS armed, 0::BIGINT AS counted, false AS escalated, NULL::BIGINT AS reset_at, '' AS dis, false AS resetting, false AS off, ['']::VARCHAR[] AS acts FROM log
+  UNION ALL
+  SELECT user_id, n, id, tag, recent1,
+    CASE WHEN tag > 1 OR NOT eligible OR tag = 1 AND NOT ok THEN armed WHEN low THEN true WHEN tag = 0 THEN armed AND NOT bad ELSE armed END,
+    counted1, escalated OR coalesce(warns AND run_mode = 'async', false), CASE WHEN tag = 4 AND resetting THEN tm ELSE reset_at END,
+    CASE WHEN disables THEN 'waits' WHEN tag = 2 AND dis = 'waits' AND NOT resetting THEN '' WHEN tag = 3 AND dis <> '' AND ok THEN '' WHEN tag = 3 AND dis = 'waits' THEN 'unknown' ELSE dis END,
+    CASE WHEN tag = 2 AND dis <> 'unknown' THEN true WHEN tag = 4 THEN false ELSE resetting END, CASE WHEN tag = 3 AND dis <> '' AND ok THEN true WHEN tag = 4 AND resetting THEN false ELSE off END,
+    list_filter([CASE WHEN warns THEN 'warning' END, CASE WHEN warns AND run_mode = 'async' AND NOT escalated THEN 'escalation' END, CASE WHEN disables THEN 'disable' END,
+      CASE WHEN tag = 1 AND ok AND eligible AND bad AND role = 'user' AND disposition <> 'notice_only' AND may THEN 'uncounted' END,
+      CASE WHEN tag = 2 AND (dis = 'unknown' OR resetting) THEN 'refused' WHEN tag = 2 AND dis = 'waits' THEN 'cancelled' END, CASE WHEN tag = 2 AND dis <> 'unknown' AND NOT resetting THEN 'reset' END,
+      CASE WHEN tag = 3 AND dis <> '' AND ok THEN 'disabled' WHEN tag = 3 AND dis = 'waits' THEN 'unknown' END, CASE WHEN tag = 4 AND resetting THEN 'enabled' END], lambda x: x IS NOT NULL)
+  FROM (SELECT *, tag = 0 AND eligible AND NOT low AND armed AND bad AS warns, tag = 0 AND eligible AND bad AND role = 'user' AND user_status = 'active' AND NOT off AND disposition <> 'notice_only' AND (counted1 >= 2 OR disposition = 'immediate_disable') AND ({alone} OR dis = '') AS disables
+    FROM (SELECT *, len(list_filter(recent1, lambda x: x.bad)) < 1 AS low,
+      CASE WHEN tag = 0 AND eligible AND bad AND role = 'user' AND disposition <> 'notice_only' AND may THEN counted + 1 WHEN tag = 1 AND ok AND eligible AND bad AND role = 'user' AND disposition <> 'notice_only' AND may THEN greatest(0, counted - 1) WHEN tag = 4 AND resetting THEN 0 ELSE counted END AS counted1
+      FROM (SELECT *, coalesce(violation, false) AS bad, reset_at IS NULL OR coalesce(created > reset_at, false) AS may,
+        CASE WHEN tag = 0 AND eligible THEN list_append(recent, {{'id': id, 'bad': violation}})[-5:] WHEN tag = 1 AND ok AND eligible THEN list_transform(recent, lambda x: {{'id': x.id, 'bad': x.bad AND x.id <> log_id}}) ELSE recent END AS recent1
+        FROM (SELECT l.*, l.id AS log_id, r.recent, r.armed, r.counted, r.escalated, r.reset_at, r.dis, r.resetting, r.off FROM run r JOIN log l ON l.user_id = r.user_id AND l.n = r.n + 1))))
+) SELECT * FROM run WHERE n > 0)
+"""
+_LATER = """ UNION ALL SELECT id, user_id, us + CASE WHEN price % 2 = 0 THEN 40 ELSE 400 END * 86400000000, 1, true, us, eligible, violation, run_mode, role, user_status, disposition FROM jobs1 WHERE violation AND price % 3 = 0
+    UNION ALL SELECT id, user_id, epoch_us(TIMESTAMP '1995-01-01') + (epoch_us(requested_at) - epoch_us(TIMESTAMP '2024-01-01')) * 80, CASE event_type WHEN 'signup' THEN 2 WHEN 'purchase' THEN 4 ELSE 3 END, event_type = 'click', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM actions WHERE event_type <> 'view'"""
+
+query("g6_enforcement", _enforced, _ENFORCEMENT.format(columns="id AS job_id", order="id", later="", alone="true"))
+query("g35_enable_and_reset", _with_resets, _ENFORCEMENT.format(columns="tag, id", order="tm, tag, id", later=_LATER, alone="false"))
 query("g7_breakers", _breakers, "SELECT hash_key, user_id, job_id, CASE WHEN seen > 1 THEN 'repeated' WHEN users >= 2 THEN 'suppressed' ELSE 'countable' END AS outcome, CASE WHEN users >= 2 THEN 'tripped' ELSE '' END AS status, users FROM (SELECT *, sum((seen = 1)::BIGINT) OVER (PARTITION BY hash_key ORDER BY job_id, user_id)::BIGINT AS users FROM (SELECT *, row_number() OVER (PARTITION BY hash_key, user_id ORDER BY job_id) AS seen FROM (SELECT DISTINCT hash_key, user_id, job_id FROM targets t JOIN jobs j ON j.id = job_id WHERE kind = 'instruction' AND t.decision = 'block')))")
-query("g9_throttled_notices", _throttled)
+#: From each notice that goes out to the next one an hour later at the earliest.
+_NOTICES = """
+SELECT user_id, id, first AS sent, CASE WHEN first THEN coalesce(lag(held) OVER (PARTITION BY user_id, first ORDER BY n), 0) ELSE n - start END AS held_back FROM (
+  SELECT *, count(*) OVER (PARTITION BY user_id, start) - 1 AS held FROM (SELECT *, hit AS first, last_value(CASE WHEN hit THEN n END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY n) AS start FROM (
+    WITH RECURSIVE notices AS (
+      SELECT id, user_id, epoch(requested_at)::BIGINT AS tm, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(requested_at)), id) AS n FROM actions WHERE event_type = 'error'
+    ), nexts AS (
+      SELECT a.user_id, a.n, (SELECT min(b.n) FROM notices b WHERE b.user_id = a.user_id AND b.n > a.n AND b.tm - a.tm >= 3600) AS following FROM notices a
+    ), out AS (
+      SELECT user_id, n FROM notices WHERE n = 1 UNION ALL SELECT x.user_id, x.following FROM out o JOIN nexts x ON x.user_id = o.user_id AND x.n = o.n WHERE x.following IS NOT NULL
+    )
+    SELECT s.*, o.n IS NOT NULL AS hit FROM notices s LEFT JOIN out o ON o.user_id = s.user_id AND o.n = s.n)))
+"""
+query("g9_throttled_notices", _throttled, _NOTICES)
 query("g10_due_jobs", lifecycle.due_jobs, "SELECT id, created_at FROM jobs WHERE status IN ('queued', 'retry') ORDER BY created_at, id LIMIT 50")
-query("g13_node_health", _health)
-query("g17_reset_detector", _resets)
+_HEALTH = """
+SELECT model_id, tm AS at_s, health, until::DOUBLE AS cooldown_until, latency AS latency_ewma FROM (
+WITH RECURSIVE log AS (
+  SELECT model_id, epoch(dispatch_started_at)::BIGINT AS tm, latency_ms, CASE WHEN status = 'succeeded' THEN '' WHEN line = 2 THEN 'rate_limited' ELSE 'timeout' END AS error, row_number() OVER (PARTITION BY model_id ORDER BY dispatch_started_at, job_id, line, latency_ms) AS n FROM attempts
+), run AS (
+  SELECT DISTINCT model_id, 0::BIGINT AS n, 0::BIGINT AS tm, 'unknown' AS health, 0::BIGINT AS fails, 0::BIGINT AS opened, NULL::BIGINT AS until, NULL::DOUBLE AS latency FROM log
+  UNION ALL
+  SELECT model_id, n, tm, CASE WHEN error = '' THEN 'healthy' WHEN cools THEN 'cooldown' ELSE 'degraded' END, CASE WHEN error = '' THEN 0 ELSE fails + 1 END, CASE WHEN error = '' THEN 0 WHEN cools THEN opened + 1 ELSE opened END,
+    CASE WHEN error = '' THEN NULL WHEN error = 'rate_limited' THEN tm + 30 WHEN cools THEN tm + least(300, 15 * pow(2, opened)::BIGINT) ELSE until END, CASE WHEN latency_ms > 0 THEN coalesce(0.2::DOUBLE * latency_ms + 0.8::DOUBLE * latency, latency_ms) ELSE latency END
+  FROM (SELECT l.*, r.fails, r.opened, r.until, r.latency, error <> '' AND (error = 'rate_limited' OR r.fails + 1 >= 2) AS cools FROM run r JOIN log l ON l.model_id = r.model_id AND l.n = r.n + 1)
+) SELECT * FROM run WHERE n > 0)
+"""
+_DETECTED = """
+SELECT epoch, tm AS fetched_s, rule, CASE WHEN fires THEN 'automatic:' || epoch || ':' || before END AS event_key, reset_at::DOUBLE AS reset_at_s, base::DOUBLE AS baseline_s FROM (
+WITH RECURSIVE log AS (
+  SELECT *, CASE WHEN event_type = 'signup' THEN 0 ELSE tm // 604800 * 604800 + 604800 + user_id * 60 END AS reset FROM (SELECT user_id, 'e' || user_id AS epoch, epoch(requested_at)::BIGINT AS tm, event_type, abs(value) AS used, row_number() OVER (PARTITION BY user_id ORDER BY epoch(requested_at)::BIGINT, id) AS n FROM (SELECT * REPLACE (date_trunc('second', requested_at) AS requested_at) FROM actions))
+), run AS (
+  SELECT DISTINCT epoch, 0::BIGINT AS n, 0::BIGINT AS tm, '' AS rule, false AS fires, NULL::BIGINT AS before, NULL::BIGINT AS reset_at, NULL::BIGINT AS base, NULL::DOUBLE AS used, NULL::BIGINT AS fetched, false AS awaiting FROM log
+  UNION ALL
+  SELECT epoch, n, tm, rule, rule IN ('natural', 'early', 'ended'), base, CASE rule WHEN 'natural' THEN greatest(base, reset - 604800) WHEN 'early' THEN tm WHEN 'ended' THEN base END, CASE WHEN rule <> 'refused' AND reset > tm THEN reset ELSE base END,
+    CASE WHEN rule = 'refused' THEN last_used ELSE used END, CASE WHEN rule = 'refused' THEN fetched ELSE tm END, CASE rule WHEN 'awaited' THEN false WHEN 'ended' THEN true ELSE awaiting END
+  FROM (SELECT l.*, r.base, r.used AS last_used, r.fetched, r.awaiting,
+    CASE WHEN l.tm <= r.fetched THEN 'refused' WHEN reset > l.tm THEN CASE WHEN r.base IS NULL THEN 'first' WHEN r.awaiting THEN 'awaited' WHEN reset - r.base > 518400 AND l.tm >= r.base THEN 'natural' WHEN reset - r.base > 518400 AND r.used > 0 THEN 'early' WHEN reset - r.base > 518400 THEN 'drift' WHEN reset - r.base < -518400 THEN 'back' ELSE 'same' END
+      WHEN reset > 0 THEN 'not_switched' WHEN r.base IS NOT NULL AND NOT r.awaiting AND l.tm >= r.base AND l.used = 0 THEN 'ended' ELSE 'no_reset_time' END AS rule
+    FROM run r JOIN log l ON l.epoch = r.epoch AND l.n = r.n + 1)
+) SELECT * FROM run WHERE n > 0)
+"""
+query("g13_node_health", _health, _HEALTH)
+query("g17_reset_detector", _resets, _DETECTED)
 query("g18_reset_events", quota.reset_events, "SELECT event_key, min(id) AS event_id, arg_min(user_id, id) AS monitor, arg_min(requested_at, id) AS reset_at FROM (SELECT *, 'automatic:' || user_id || ':' || strftime(requested_at, '%Y-%m-%d') AS event_key FROM actions WHERE execution_status = 'failed') GROUP BY 1")
 query("g19_fan_out", quota.fan_out, f"SELECT group_id, batch, count(*) * 3 AS records, count(*) AS items, min(id) AS first FROM (SELECT u.id, group_id, (row_number() OVER (PARTITION BY group_id ORDER BY u.id) - 1) // 100 AS batch FROM {_SUBS}) GROUP BY 1, 2")
 query("g20_superseded", quota.superseded, "SELECT event_id, monitor, CASE WHEN event_id < max(event_id) OVER (PARTITION BY monitor) THEN 'skipped' ELSE 'pending' END AS status FROM (SELECT min(id) AS event_id, min(user_id) AS monitor FROM actions WHERE execution_status = 'failed' GROUP BY user_id, strftime(requested_at, '%Y-%m-%d'))")

@@ -1,7 +1,7 @@
 """Rules that depend on order, as folds over one key's records, in batch and in a stream.
 
 A fold is a function (state, record) -> (state, outputs) on plain dicts. run_batch() applies it to each key's records in
-their order with applyInPandas; run_stream() is the same fold over arriving records, its state kept by Spark. A key is a
+their order over sorted partitions; run_stream() is the same fold over arriving records, its state kept by Spark. A key is a
 user, an instruction hash, a node or an account epoch, and holds that one's history only.
 """
 
@@ -12,23 +12,37 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 Fold = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
 def run_batch(df: DataFrame, key: str, order: list[str], fold: Fold, schema: str) -> DataFrame:
-    names = [f.split()[0] for f in schema.split(",")]
+    """The fold over each key's records in their order, null first.
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = {}, []
-        for r in rows.sort_values(order, kind="stable").to_dict("records"):
-            state, made = fold(state, r)
-            out += made
-        return pd.DataFrame(out, columns=names)
+    Records are dealt by key and sorted where they lie, which spills, and go through in Arrow batches: a task holds one
+    batch, the state of one key and what the batch made, however many records a key has. Records are dicts of plain
+    values, None for null. Ties in `order` are in no stated order.
+    """
+    made = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now = {}, object()
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r[key] != now:
+                    state, now = {}, r[key]
+                state, rows = fold(state, r)
+                out += rows
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=made)
 
-    return df.groupBy(key).applyInPandas(each, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def run_stream(df: DataFrame, key: str, order: list[str], fold: Fold, schema: str) -> DataFrame:
@@ -54,7 +68,8 @@ def run_stream(df: DataFrame, key: str, order: list[str], fold: Fold, schema: st
 def enforce(state: dict, job: dict, limit: int = 3, window: int = 10, disable_limit: int = 5, rule: str = "r1", escalate: bool = True) -> tuple[dict, list[dict]]:
     """Warning, escalation and disabling, a job at a time in the order of ids.
 
-    job: id, user_id, eligible, violation, run_mode, role, user_status, disposition ('', immediate_disable or notice_only). The warning
+    job: id, user_id, eligible, violation, run_mode, role, user_status, disposition ('', immediate_disable or notice_only); counts, if
+    there, says whether a violation may count. The warning
     looks at the last `window` eligible jobs after the rule was set; it fires once and is armed again when the window
     falls below the limit. Escalation follows the first warning of an async user. A disable needs disable_limit counted
     violations of an active user, or a category that disables at once; a notice-only category never disables.
@@ -65,10 +80,10 @@ def enforce(state: dict, job: dict, limit: int = 3, window: int = 10, disable_li
     actions: list[str] = []
     if job["eligible"]:
         bad = bool(job["violation"])
-        s["recent"] = [*s["recent"], bad][-window:]
-        if bad and job["role"] == "user" and job["disposition"] != "notice_only":
+        s["recent"] = [*s["recent"], [job["id"], bad]][-window:]
+        if bad and job["role"] == "user" and job["disposition"] != "notice_only" and job.get("counts", True):
             s["count"] += 1
-        if sum(s["recent"]) < limit:
+        if sum(b for _, b in s["recent"]) < limit:
             s["armed"] = True
         elif s["armed"] and bad:
             s["armed"] = False
@@ -82,6 +97,56 @@ def enforce(state: dict, job: dict, limit: int = 3, window: int = 10, disable_li
     return s, [{"user_id": job["user_id"], "job_id": job["id"], "action": a, "counted": s["count"]} for a in actions]
 
 
+#: Rows of a user's whole history: a job's verdict, a later round's, and what administrators and the sender of account actions do.
+JOB, REAUDIT, RESET, SENT, RESET_DONE = range(5)
+
+
+def enforce_all(state: dict, r: dict, limit: int = 3, window: int = 10, disable_limit: int = 5) -> tuple[dict, list[dict]]:
+    """Enforcement with what changes it later, a row at a time in the order of (at, tag, id).
+
+    r: tag, at, id, user_id, ok, and for jobs and their later rounds the job's fields as enforce() has them, with created (its time). Outputs have
+    user_id, tag, id, action, counted:
+    - a later round (REAUDIT) clears a job's violation: it counts no more in the window, and if it had counted towards a disable, and its job
+      came after the last reset, the count goes down once (uncounted). `ok` says that it is the first round that clears the job.
+    - a disable waits until it is sent (SENT), one at a time; sent, it takes effect (disabled) if `ok`, else its outcome is unknown.
+    - a reset (RESET) is refused while a sent disable is unknown or another reset runs; else it cancels a disable that waits.
+      When it is done (RESET_DONE) the user is active (enabled), the count 0, and jobs up to then count no more.
+    """
+    s = {"reset_at": None, "disable": "", "resetting": False, "off": False, "count": 0, "recent": [], "armed": True} | state
+    acts: list[str] = []
+    counts = s["reset_at"] is None or r["created"] is not None and r["created"] > s["reset_at"]
+    if r["tag"] == JOB:
+        s, made = enforce(s, r | {"counts": counts, "user_status": "disabled" if s["off"] else r["user_status"]}, limit=limit, window=window, disable_limit=disable_limit)
+        acts = [o["action"] for o in made if o["action"] != "disable" or not s["disable"]]
+        if "disable" in acts:
+            s["disable"] = "waits"
+    elif r["tag"] == REAUDIT:
+        if r["ok"] and r["eligible"]:
+            s["recent"] = [[i, bad and i != r["id"]] for i, bad in s["recent"]]
+            if sum(b for _, b in s["recent"]) < limit:
+                s["armed"] = True
+            if r["violation"] and r["role"] == "user" and r["disposition"] != "notice_only" and counts:
+                s["count"] = max(0, s["count"] - 1)
+                acts = ["uncounted"]
+    elif r["tag"] == RESET:
+        if s["disable"] == "unknown" or s["resetting"]:
+            acts = ["refused"]
+        else:
+            acts = ["cancelled", "reset"] if s["disable"] == "waits" else ["reset"]
+            s |= {"disable": "", "resetting": True}
+    elif r["tag"] == SENT:
+        if s["disable"] == "waits":
+            acts = ["disabled"] if r["ok"] else ["unknown"]
+            s |= {"disable": "", "off": True} if r["ok"] else {"disable": "unknown"}
+        elif s["disable"] == "unknown" and r["ok"]:
+            acts = ["disabled"]
+            s |= {"disable": "", "off": True}
+    elif s["resetting"]:
+        acts = ["enabled"]
+        s |= {"resetting": False, "count": 0, "reset_at": r["at"], "off": False}
+    return s, [{"user_id": r["user_id"], "tag": r["tag"], "id": r["id"], "action": a, "counted": s["count"]} for a in acts]
+
+
 # --- count-once marks and breakers of an instruction hash ------------------------------------------------------------
 
 
