@@ -43,10 +43,29 @@ def reusable_review(wanted: DataFrame, reviews: DataFrame) -> DataFrame:
     return wanted.join(newest, ok, "left").select(*wanted.columns, F.col("newest.review_id").alias("review_id"), F.col("newest.review_score").alias("review_score"))
 
 
-def numbered_batches(df: DataFrame, group: str, order: str, size: int) -> DataFrame:
-    """batch: rows of each group numbered in their order and cut into batches."""
-    w = Window.partitionBy(group).orderBy(order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+def numbered_batches(df: DataFrame, group: str, order: str, size: int, rows: int = 1 << 20) -> DataFrame:
+    """batch: rows of each group numbered in the order of a numeric column, null first, and cut into batches.
+
+    The order's values are cut into ranges of about `rows` rows, from a sketch of its percentiles. A row's number is its
+    place in its group's part of a range, and how many rows of the group lie in the ranges before: no task sorts a whole
+    group, and the sums are joined by (group, range), each one row.
+    """
+    points = [i / 1024 for i in range(1, 1024)]
+    n, at = df.agg(F.count(F.lit(1)), F.percentile_approx(order, points, 10_000)).first()
+    every = max(1, -(-1024 * rows // max(n, 1)))
+    cuts = sorted({x for x in (at or [])[every - 1 :: every]})
+    if not cuts:
+        return _numbered(df, [group], order).withColumn("batch", F.floor((F.col("place_") - 1) / size)).drop("place_")
+    ranged = df.withColumn("range_", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(order))))
+    sums = ranged.groupBy(F.col(group).alias("group_"), F.col("range_").alias("of_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy("group_").orderBy("of_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("group_", "of_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    placed = _numbered(ranged, [group, "range_"], order).join(sums, F.col(group).eqNullSafe(F.col("group_")) & (F.col("range_") == F.col("of_")))
+    return placed.withColumn("batch", F.floor((F.col("before_") + F.col("place_") - 1) / size)).select(*df.columns, "batch")
+
+
+def _numbered(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    return df.withColumn("place_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first())))
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int, most: int = 200) -> DataFrame:

@@ -87,7 +87,7 @@ def job_list(t: Tables) -> DataFrame:
     out = jobs.join(users, F.col("user_id") == F.col("uid"), "left")
     out = flag(out, t.actions.where("execution_status IN ('pending', 'unknown')"), "user_id", "action_pending")
     work = F.coalesce(F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1000, F.lit(0)).cast("long")
-    return page(out.select("id", "user_id", F.coalesce("name", F.lit("")).alias("username"), "decision", work.alias("work_ms"), "action_pending"), [F.desc("id")], 2, 100)
+    return page(out.select("id", "user_id", F.coalesce("name", F.lit("")).alias("username"), "decision", work.alias("work_ms"), "action_pending", "created_at"), [F.desc("created_at"), F.desc("id")], 2, 100).drop("created_at")
 
 
 def category_jobs(t: Tables) -> DataFrame:
@@ -95,7 +95,7 @@ def category_jobs(t: Tables) -> DataFrame:
 
 
 def job_prompts(t: Tables) -> DataFrame:
-    """Targets of the jobs' present round with their texts and whether the hash is trusted: user target first."""
+    """Targets of the jobs' present round with their texts and whether the hash is trusted, in no order."""
     jobs = t.jobs.where("status = 'done'").select("id", "current_round")
     cur = t.targets.join(jobs, (F.col("job_id") == F.col("id")) & (F.col("round") == F.col("current_round")))
     texts = t.texts.select(F.col("hash_key").alias("h"), "text")

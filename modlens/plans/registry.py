@@ -78,7 +78,7 @@ query(
 
 # --- filters and projections --------------------------------------------------------------------------------------------
 
-query("b1_job_list", boards.job_list, "SELECT j.id, j.user_id, coalesce(nullif(u.username, ''), '') AS username, decision, CAST(coalesce(epoch_us(finished_at - started_at) / 1000, 0) AS bigint) AS work_ms, j.user_id IN (SELECT user_id FROM actions WHERE execution_status IN ('pending', 'unknown')) AS action_pending FROM jobs j LEFT JOIN (SELECT * FROM users WHERE NOT deleted) u ON u.id = j.user_id WHERE run_mode = 'blocking' AND j.status = 'done' AND created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '1996-01-01' ORDER BY j.id DESC LIMIT 100 OFFSET 100")
+query("b1_job_list", boards.job_list, "SELECT j.id, j.user_id, coalesce(nullif(u.username, ''), '') AS username, decision, CAST(coalesce(epoch_us(finished_at - started_at) / 1000, 0) AS bigint) AS work_ms, j.user_id IN (SELECT user_id FROM actions WHERE execution_status IN ('pending', 'unknown')) AS action_pending FROM jobs j LEFT JOIN (SELECT * FROM users WHERE NOT deleted) u ON u.id = j.user_id WHERE run_mode = 'blocking' AND j.status = 'done' AND created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '1996-01-01' ORDER BY created_at DESC, j.id DESC LIMIT 100 OFFSET 100")
 query("b3_category_jobs", boards.category_jobs, "SELECT id, user_id, array_to_string(trigger_categories, ',') AS categories FROM jobs WHERE decision = 'block' AND list_has_any(trigger_categories, ['R02'])")
 query("b5_action_list", boards.action_list, "SELECT id, user_id, execution_status, notification_status, requested_at, json_extract_string(business_snapshot, '$.k') AS k FROM actions WHERE execution_status IN ('failed', 'unknown') AND requested_at >= TIMESTAMP '2024-01-05' AND requested_at < TIMESTAMP '2024-01-20' ORDER BY id DESC LIMIT 50")
 query("b8_trust_search", boards.trust_search, "SELECT t.hash_key, left(text, 500) AS preview FROM texts t JOIN trust USING (hash_key) WHERE CAST(t.hash_key AS varchar) LIKE '12%' OR text ILIKE '%12%'")
@@ -336,6 +336,22 @@ query("g18_reset_events", quota.reset_events, "SELECT event_key, min(id) AS even
 query("g19_fan_out", quota.fan_out, f"SELECT group_id, batch, count(*) * 3 AS records, count(*) AS items, min(id) AS first FROM (SELECT u.id, group_id, (row_number() OVER (PARTITION BY group_id ORDER BY u.id) - 1) // 100 AS batch FROM {_SUBS}) GROUP BY 1, 2")
 query("g20_superseded", quota.superseded, "SELECT event_id, monitor, CASE WHEN event_id < max(event_id) OVER (PARTITION BY monitor) THEN 'skipped' ELSE 'pending' END AS status FROM (SELECT min(id) AS event_id, min(user_id) AS monitor FROM actions WHERE execution_status = 'failed' GROUP BY user_id, strftime(requested_at, '%Y-%m-%d'))")
 query("g21_delivered", quota.delivered, f"SELECT group_id, batch, count(*) AS items, count(*) FILTER (WHERE st = 'succeeded') AS succeeded, CASE WHEN bool_or(st = 'uncertain') THEN 'uncertain' WHEN bool_or(st = 'failed') THEN 'partial' ELSE 'succeeded' END AS status FROM (SELECT s.*, CASE WHEN last IS NULL THEN 'uncertain' WHEN last = 'failed' THEN 'failed' ELSE 'succeeded' END AS st FROM (SELECT u.id, group_id, (row_number() OVER (PARTITION BY group_id ORDER BY u.id) - 1) // 100 AS batch FROM {_SUBS}) s LEFT JOIN (SELECT user_id, arg_max(status, id) AS last FROM jobs GROUP BY 1) r ON r.user_id = s.id) GROUP BY 1, 2")
+def _buckets(t: Tables) -> DataFrame:
+    rows = t.actions.select(F.col("user_id").alias("connection"), "id", (F.unix_micros(F.col("requested_at").cast("timestamp")) / 3_600_000_000).alias("at_s"))
+    return folds.run_batch(rows, "connection", ["at_s", "id"], folds.moving(folds.token_bucket, burst=3, rate=0.05), "connection long, id long, allowed boolean")
+
+
+_BUCKETS = """
+SELECT connection, id, allowed FROM (
+WITH RECURSIVE log AS (
+  SELECT user_id AS connection, id, epoch_us(requested_at)::DOUBLE / 3600000000::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id ORDER BY requested_at, id) AS n FROM actions
+), run AS (
+  SELECT DISTINCT connection, 0::BIGINT AS n, 0::BIGINT AS id, 3::DOUBLE AS left_, NULL::DOUBLE AS last, false AS allowed FROM log
+  UNION ALL
+  SELECT connection, n, id, CASE WHEN now >= 1 THEN now - 1 ELSE now END, tm, now >= 1 FROM (SELECT l.*, least(3::DOUBLE, r.left_ + 0.05::DOUBLE * greatest(0::DOUBLE, l.tm - coalesce(r.last, l.tm))) AS now FROM run r JOIN log l ON l.connection = r.connection AND l.n = r.n + 1)
+) SELECT * FROM run WHERE n > 0)
+"""
+query("g24_token_buckets", _buckets, _BUCKETS)
 query("g24_rate_windows", quota.rate_windows, "SELECT user_id, date_trunc('minute', requested_at)::TIMESTAMP AS minute, count(*) AS n, greatest(count(*) - 2, 0) AS rejected FROM actions GROUP BY 1, 2")
 query("g25_kept_jobs", lambda t: lifecycle.kept_jobs(t).select("id", "status"), "SELECT id, status FROM jobs WHERE created_at >= TIMESTAMP '1995-06-01' OR status = 'queued'")
 query("g26_erased_texts", lifecycle.erased_texts, "SELECT DISTINCT hash_key FROM targets WHERE job_id IN (SELECT id FROM jobs WHERE user_id = 7) AND hash_key NOT IN (SELECT hash_key FROM targets WHERE job_id NOT IN (SELECT id FROM jobs WHERE user_id = 7)) AND hash_key NOT IN (SELECT hash_key FROM trust) AND hash_key NOT IN (SELECT hash_key FROM breakers)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modlens.functions.decisions import reason_codes
 from modlens.operators.filters import all_of, between
+from modlens.operators.quantiles import exact_percentiles
 from modlens.sources.tables import Tables
 
 SINCE, UNTIL = "1995-01-01", "1997-01-01"
@@ -21,7 +22,7 @@ def millis(later: str, earlier: str) -> Column:
 
 
 def exact(column: str | Column, p: float) -> Column:
-    """An exact, interpolating percentile."""
+    """An exact, interpolating percentile of a small group: it holds the group's distinct values."""
     return F.percentile(column, p)
 
 
@@ -48,14 +49,18 @@ def action_stock(t: Tables) -> DataFrame:
 
 def blocking_waits(t: Tables) -> DataFrame:
     w = in_range(t.jobs).where("run_mode = 'blocking' AND blocking_wait_ms IS NOT NULL")
-    return w.agg(F.count(F.lit(1)).alias("n"), F.avg("blocking_wait_ms").alias("mean"), F.max("blocking_wait_ms").alias("most"), exact("blocking_wait_ms", 0.5).alias("p50"), exact("blocking_wait_ms", 0.95).alias("p95"))
+    got = exact_percentiles(w, {"ms": F.col("blocking_wait_ms")}, (0.5, 0.95))["ms"]
+    most = None if got["most"] is None else int(got["most"])
+    return t.spark.createDataFrame([(got["n"], got["mean"], most, got[0.5], got[0.95])], "n long, mean double, most long, p50 double, p95 double")
 
 
 def durations(t: Tables) -> DataFrame:
     """Whole, queueing and processing times of the range's jobs; a percentile skips what has no times."""
     spans = {"whole": ("finished_at", "created_at"), "queue": ("started_at", "created_at"), "work": ("finished_at", "started_at")}
-    cols = in_range(t.jobs).select(*[millis(*v).alias(k) for k, v in spans.items()])
-    return cols.agg(*[exact(k, p).alias(f"{k}_p{int(p * 100)}") for k in spans for p in (0.5, 0.95)])
+    points = (0.5, 0.95)
+    got = exact_percentiles(in_range(t.jobs), {k: millis(*v) for k, v in spans.items()}, points)
+    names = [f"{k}_p{int(p * 100)} double" for k in spans for p in points]
+    return t.spark.createDataFrame([tuple(got[k][p] for k in spans for p in points)], ", ".join(names))
 
 
 def cache_misses(t: Tables) -> DataFrame:

@@ -148,11 +148,15 @@ def delivery_status(t: Tables) -> DataFrame:
     return rows.select("id", status.alias("status"), F.pow(F.lit(2.0), F.least(tries, F.lit(8))).cast("long").alias("wait_s"))
 
 
-def due_actions(t: Tables, n: int = 50) -> DataFrame:
-    """The next actions of the outbox: those not carried out yet, then notices of those that are, in the order of their time."""
+def due_actions(t: Tables, now: str = "2024-01-20 00:00:00", n: int = 50) -> DataFrame:
+    """The next actions of the outbox at `now`: not carried out yet, or carried out with a notice to send, whose next attempt is due and which nobody
+    holds, in the order of that attempt. The next attempt comes a minute after the request for each unit of value; clicks are held for ten days."""
     notice = F.when(F.col("id") % 4 == 0, "retry").otherwise(F.col("notification_status"))
-    due = F.col("execution_status").isin("pending", "processing", "unknown") | (F.col("execution_status") == "succeeded") & notice.isin("pending", "processing", "retry")
-    return t.actions.where(due).orderBy("requested_at", "id").limit(n).select("id", F.when(F.col("execution_status") == "processing", "unknown").otherwise(F.col("execution_status")).alias("execution_status"))
+    open_ = F.col("execution_status").isin("pending", "processing", "unknown") | (F.col("execution_status") == "succeeded") & notice.isin("pending", "processing", "retry")
+    rows = t.actions.where(open_).withColumns({"next": F.col("requested_at").cast("timestamp") + F.make_dt_interval(mins=F.floor("value").cast("int")), "lease": F.when(F.col("event_type") == "click", F.col("requested_at").cast("timestamp") + F.expr("INTERVAL 10 DAYS"))})
+    at = F.lit(now).cast("timestamp")
+    due = rows.where((F.col("next") <= at) & (F.col("lease").isNull() | (F.col("lease") <= at)))
+    return due.orderBy("next", "id").limit(n).select("id", F.when(F.col("execution_status") == "processing", "unknown").otherwise(F.col("execution_status")).alias("execution_status"), F.col("next").cast("timestamp_ntz").alias("next_attempt_at"))
 
 
 def appended_evidence(t: Tables) -> DataFrame:
@@ -194,11 +198,23 @@ def skip_failed_subscriptions(t: Tables) -> DataFrame:
     return t.actions.where("execution_status = 'failed'").join(valid, F.col("user_id") == F.col("uid")).select("id", "user_id")
 
 
+def _batch_state(now: str) -> Column:
+    """queued jobs stand for batches in flight; those of over three minutes are uncertain, failed ones wait."""
+    late = F.col("created_at").cast("timestamp") < F.expr(f"TIMESTAMP '{now}' - INTERVAL 3 MINUTES")
+    return F.when(F.col("status") == "queued", F.when(late, "uncertain").otherwise("inflight")).when(F.col("status") == "failed", "pending").otherwise(F.col("status"))
+
+
 def recovered_batches(t: Tables, now: str = "1996-06-01 00:03:00") -> DataFrame:
-    """Batches in flight for over three minutes are uncertain; any batch in flight or uncertain blocks all others."""
-    state = F.when(F.col("status") == "queued", F.when(F.col("created_at").cast("timestamp") < F.expr(f"TIMESTAMP '{now}' - INTERVAL 3 MINUTES"), "uncertain").otherwise("inflight")).otherwise(F.col("status"))
-    rows = t.jobs.select("user_id", state.alias("state"))
-    return rows.groupBy("user_id").agg(F.count_if(F.col("state") == "uncertain").alias("uncertain"), F.count_if(F.col("state") == "inflight").alias("inflight"), F.bool_or(F.col("state").isin("inflight", "uncertain")).alias("blocked"))
+    """A user's batches in flight, and those in flight for over three minutes, whose outcome is uncertain."""
+    rows = t.jobs.select("user_id", _batch_state(now).alias("state"))
+    return rows.groupBy("user_id").agg(F.count_if(F.col("state") == "uncertain").alias("uncertain"), F.count_if(F.col("state") == "inflight").alias("inflight"))
+
+
+def claimed_batches(t: Tables, now: str = "1996-06-01 00:03:00") -> DataFrame:
+    """Pending batches with whether any other batch of their runtime blocks them, whoever's it is. A day stands for a runtime; each has one row of sums."""
+    rows = t.jobs.select("id", F.to_date("created_at").alias("day"), _batch_state(now).alias("state"))
+    open_ = rows.groupBy(F.col("day").alias("of_day")).agg(F.count_if(F.col("state").isin("inflight", "uncertain")).alias("open"))
+    return rows.where("state = 'pending'").join(open_, F.col("day") == F.col("of_day")).select("id", (F.col("open") > 0).alias("blocked"))
 
 
 def manual_resets(t: Tables) -> DataFrame:
@@ -289,9 +305,19 @@ REPORTS = [
     ("g4_bound_decisions", bound_decisions, "SELECT id, CASE WHEN decision = 'block' THEN 'block' WHEN decision = 'review' THEN 'flag' WHEN status = 'done' OR run_mode = 'async' THEN 'allow' ELSE 'wait' END AS kind, CASE WHEN decision = 'block' THEN 'third_party_audit_blocked' END AS error_code FROM jobs"),
     ("g5_shared_flights", shared_flights, "SELECT job_id, target_order, first_value(job_id) OVER w AS scored_by, row_number() OVER w > 1 AS inflight FROM targets WHERE resolution IS NULL WINDOW w AS (PARTITION BY hash_key, round ORDER BY job_id, target_order)"),
     ("g12_failed_transitions", failed_transitions, "SELECT id, s AS next, CASE s WHEN 'retry' THEN a * a WHEN 'auto_retry' THEN CASE r WHEN 0 THEN 60 WHEN 1 THEN 300 ELSE 900 END END::BIGINT AS wait_s, CASE WHEN s = 'auto_retry' THEN 0 ELSE a END::BIGINT AS attempts FROM (SELECT id, 1 + id % 4 AS a, price % 5 AS r, CASE WHEN id % 6 <> 0 AND 1 + id % 4 < 3 THEN 'retry' WHEN id % 6 <> 0 AND price % 5 < 3 THEN 'auto_retry' ELSE 'failed' END AS s FROM jobs WHERE status = 'failed')"),
-    ("g23_recovered_batches", recovered_batches, "SELECT user_id, count(*) FILTER (WHERE s = 'uncertain') AS uncertain, count(*) FILTER (WHERE s = 'inflight') AS inflight, bool_or(s IN ('inflight', 'uncertain')) AS blocked FROM (SELECT user_id, CASE WHEN status = 'queued' THEN CASE WHEN created_at < TIMESTAMP '1996-06-01 00:00:00' THEN 'uncertain' ELSE 'inflight' END ELSE status END AS s FROM jobs) GROUP BY 1"),
+    (
+        "g22_claimed_batches",
+        claimed_batches,
+        "SELECT id, EXISTS (SELECT 1 FROM jobs o WHERE o.id <> j.id AND o.created_at::DATE = j.created_at::DATE AND o.status = 'queued') AS blocked FROM jobs j WHERE status = 'failed'",
+    ),
+    ("g23_recovered_batches", recovered_batches, "SELECT user_id, count(*) FILTER (WHERE s = 'uncertain') AS uncertain, count(*) FILTER (WHERE s = 'inflight') AS inflight FROM (SELECT user_id, CASE WHEN status = 'queued' THEN CASE WHEN created_at < TIMESTAMP '1996-06-01 00:00:00' THEN 'uncertain' ELSE 'inflight' END ELSE status END AS s FROM jobs) GROUP BY 1"),
     ("g29_replay_estimate", replay_estimate, "SELECT samples, enabled_nodes, samples * enabled_nodes AS planned_calls FROM (SELECT count(*) AS samples FROM samples), (SELECT count(*) FILTER (WHERE enabled) AS enabled_nodes FROM nodes)"),
-    ("g31_due_actions", due_actions, "SELECT id, execution_status FROM actions WHERE execution_status IN ('pending', 'processing', 'unknown') OR execution_status = 'succeeded' AND id % 4 = 0 ORDER BY requested_at, id LIMIT 50"),
+    (
+        "g31_due_actions",
+        due_actions,
+        "SELECT id, execution_status, next_attempt_at FROM (SELECT *, requested_at + to_minutes(floor(value)::BIGINT) AS next_attempt_at, CASE WHEN event_type = 'click' THEN requested_at + INTERVAL 10 DAY END AS lease FROM actions) WHERE (execution_status IN ('pending', 'processing', 'unknown') OR execution_status = 'succeeded' AND id % 4 = 0) "
+        "AND next_attempt_at <= TIMESTAMP '2024-01-20' AND (lease IS NULL OR lease <= TIMESTAMP '2024-01-20') ORDER BY next_attempt_at, id LIMIT 50",
+    ),
     ("g32_newly_excluded", newly_excluded, "SELECT id, 'skipped' AS status, 'user_excluded' AS error_code FROM jobs WHERE user_id BETWEEN 20 AND 59 AND status IN ('queued', 'retry') AND id % 2 = 0 AND NOT (id % 4 = 0 AND id IN (SELECT job_id FROM attempts))"),
     ("g36_manual_resets", manual_resets, "SELECT id, f AS reset_id, CASE WHEN id = f THEN 'created' WHEN id % 2 = f % 2 THEN 'repeated' ELSE 'conflict' END AS outcome FROM (SELECT id, min(id) OVER (PARTITION BY user_id, id % 3) AS f FROM actions)"),
     ("g37_epochs", epochs, "SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id)::INTEGER AS epoch FROM (SELECT *, lag(e) OVER w AS was, lag(a) OVER w AS had FROM (SELECT user_id, id, event_type <> 'error' AS e, id % 3 AS a FROM actions) WINDOW w AS (PARTITION BY user_id ORDER BY id)) WHERE e AND (was IS NULL OR NOT was OR had <> a)"),
