@@ -378,3 +378,36 @@ def prompt_items(bodies: DataFrame, protocol: str, body: str = "body", *keep: st
     rows = found.select(*keep, F.col("decoded.previous").alias("previous"), F.posexplode("decoded.items").alias("place", "item"))
     texts = F.transform(F.filter("item.parts", lambda p: ~p["media"]), lambda p: p["text"])
     return rows.select(*keep, F.col("place").cast("long").alias("place"), "item.role", "item.origin", F.col("item.message").cast("long").alias("message"), texts.alias("texts"), "previous", F.size(F.filter("item.parts", lambda p: p["media"])).cast("long").alias("media"))
+
+
+# --- forms --------------------------------------------------------------------------------------------------------------
+
+
+def form_texts(body: Column, boundary: Column) -> Column:
+    """The text fields of a multipart body (binary), in order: array<struct<name, text>>; null without a boundary or its closing line.
+
+    Parts with a file name are left out, as are those whose bytes aren't UTF-8. Lines may end in \\r\\n or \\n. Bytes go through as Latin-1 characters, so
+    that text functions can cut them. A part without a header of its own name has the name ''.
+    """
+    wide = F.concat(F.lit("\r\n"), F.decode(body, "ISO-8859-1"))
+    cut = F.concat(F.lit(r"\r?\n--\Q"), boundary, F.lit(r"\E(?=--|[ \t]*\r?\n)"))
+    segments = F.split(wide, cut)
+
+    def part(segment: Column) -> Column:
+        rest = F.regexp_replace(segment, r"\A[ \t]*\r?\n", "")
+        head = F.regexp_extract(rest, r"\A((?:[^\r\n]+\r?\n)*)\r?\n", 1)
+        content = F.regexp_replace(rest, r"\A(?:[^\r\n]+\r?\n)*\r?\n", "")
+        line = F.regexp_extract(head, r"(?im)^content-disposition:(.*)$", 1)
+        quoted = [F.regexp_extract(line, rf'(?i);\s*{x}=(?:"((?:[^"\\]|\\.)*)"|([^;\s"]+))', i) for x in ("name", "filename") for i in (1, 2)]
+        name, file = (F.concat(quoted[k], quoted[k + 1]) for k in (0, 2))
+        named = F.when(line.rlike(r"(?i)^\s*form-data\s*(;|$)"), name).otherwise("")
+        as_text = lambda x: F.encode(x, "ISO-8859-1").cast("string")
+        return F.struct(as_text(named).alias("name"), as_text(content).alias("text"), (file != "").alias("file"))
+
+    def parts(found: Column) -> Column:
+        # the last line of the form begins the first segment with two dashes
+        end = F.array_position(F.transform(found, lambda x: x.startswith("--")), F.lit(True)).cast("int")
+        kept = F.filter(F.transform(F.slice(found, 2, F.greatest(end - 2, F.lit(0))), part), lambda p: ~p["file"] & F.is_valid_utf8(p["text"]))
+        return F.when(end > 1, F.transform(kept, lambda p: F.struct(p["name"].alias("name"), p["text"].alias("text"))))
+
+    return F.when(boundary != "", let(segments, parts))

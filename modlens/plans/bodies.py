@@ -117,6 +117,25 @@ def reply_streams(t: Tables) -> DataFrame:
     return rows.select("conv_id", "response_id", "f.text", "f.refusal", "f.error", F.get_json_object("f.final", "$.id").alias("final_id"))
 
 
+def form_texts(t: Tables) -> DataFrame:
+    """Multipart bodies, a part for each turn: files (every fourth), bytes that are no UTF-8 (every fourth) and texts. Every seventh body isn't closed, and
+    another one has bare line feeds."""
+    turns = t.turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    c = F.col("conv_id").cast("string")
+    bytes_of = lambda x: F.decode(x.cast("binary"), "ISO-8859-1")
+
+    def part(x: Column, i: Column) -> Column:
+        file = F.when(i % 4 == 1, '; filename="f.txt"').otherwise("")
+        odd = F.when(i % 4 == 3, F.lit("\xff")).otherwise("")
+        return F.concat(_say('--b~x\r\nContent-Disposition: form-data; name="~_~"~\r\nContent-Type: text/plain\r\n\r\n', c, x["role"], i.cast("string"), file), bytes_of(x["text"]), odd, F.lit("\r\n"))
+
+    body = F.concat(F.lit("before\r\n"), F.array_join(F.transform("turns", part), ""), F.when(F.col("conv_id") % 7 == 3, "").otherwise(_say("--b~x--\r\nafter", c)))
+    body = F.when(F.col("conv_id") % 7 == 5, F.replace(body, F.lit("\r\n"), F.lit("\n"))).otherwise(body)
+    rows = turns.select("conv_id", F.encode(body, "ISO-8859-1").alias("body"), _say("b~x", c).alias("boundary"))
+    found = rows.select("conv_id", F.posexplode(requests.form_texts(F.col("body"), F.col("boundary"))).alias("place", "field"))
+    return found.select("conv_id", (F.col("place") + 1).cast("long").alias("place"), "field.name", "field.text")
+
+
 _TURNS = "SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM turns WHERE conv_id % 7 NOT IN (3, 5)"
 _NUMBERED = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i, k) - 1 AS place, role, origin, i AS message, texts, {previous} AS previous, media::BIGINT AS media FROM ({items})"
 _ROLE = "CASE role WHEN 'system' THEN 'instruction' ELSE role END, CASE role WHEN 'system' THEN 'system' WHEN 'user' THEN 'message' ELSE '' END"
@@ -161,6 +180,11 @@ REPORTS = [
         f"SELECT conv_id, 0 AS place, 'user' AS role, 'message' AS origin, 0 AS message, string_agg(text, '|' ORDER BY i) AS texts, '' AS previous, 0::BIGINT AS media FROM ({_TURNS}) WHERE conv_id % 3 = 0 OR conv_id % 3 = 1 AND i = 0 GROUP BY conv_id",
     ),
     ("a10_media_items", media_items, f"SELECT conv_id, 0 AS place, 'user' AS role, 'message' AS origin, 0 AS message, 'not ' || conv_id || '|' || text AS texts, '' AS previous, 0::BIGINT AS media FROM ({_TURNS}) WHERE i = 0"),
+    (
+        "a12_form_texts",
+        form_texts,
+        "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS place, role || '_' || i AS name, CASE WHEN conv_id % 7 = 5 THEN replace(text, chr(13) || chr(10), chr(10)) ELSE text END AS text FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM turns WHERE conv_id % 7 <> 3) WHERE i % 4 IN (0, 2)",
+    ),
     (
         "a14_reply_streams",
         reply_streams,

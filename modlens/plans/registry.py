@@ -94,6 +94,7 @@ query("c9_reaudit_estimate", lifecycle.reaudit_estimate, "SELECT count(DISTINCT
 query("c10_kept_texts", lifecycle.kept_texts, "SELECT hash_key, text FROM texts WHERE hash_key IN (SELECT hash_key FROM targets WHERE job_id IN (SELECT id FROM jobs WHERE created_at >= TIMESTAMP '1995-06-01' OR status = 'queued')) OR hash_key IN (SELECT hash_key FROM trust) OR hash_key IN (SELECT hash_key FROM breakers) OR hash_key IN (SELECT hash_key FROM (SELECT *, row_number() OVER (PARTITION BY hash_key, eval_key ORDER BY created_at DESC, id DESC) AS r FROM reviews WHERE id NOT IN (SELECT review_id FROM targets WHERE review_id IS NOT NULL AND job_id IN (SELECT id FROM jobs WHERE created_at >= TIMESTAMP '1995-06-01' OR status = 'queued'))) WHERE r <= 5 AND created_at >= TIMESTAMP '1995-06-01') OR hash_key IN (SELECT hash_key FROM reviews WHERE id IN (SELECT review_id FROM targets WHERE job_id IN (SELECT id FROM jobs WHERE created_at >= TIMESTAMP '1995-06-01' OR status = 'queued')))")
 query("c12_similar_by_key", boards.similar_by_key, "SELECT a.hash_key AS a, b.hash_key AS b, CAST(bit_count(xor(a.s, b.s)) AS integer) AS distance FROM (SELECT hash_key, hash_key * hash_key * 7919 + size * 64 AS s FROM texts) a JOIN (SELECT hash_key, hash_key * hash_key * 7919 + size * 64 AS s FROM texts) b ON a.hash_key < b.hash_key AND bit_count(xor(a.s, b.s)) <= 3")
 query("c12_similar_prompts", boards.similar_prompts)
+query("h10_similar_pair", boards.similar_pair)
 query("c14_reused_reviews", lifecycle.reused_reviews, "SELECT j.id AS job_id, r.id AS review_id, r.score AS review_score FROM jobs j LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY hash_key, eval_key ORDER BY created_at DESC, id DESC) AS n FROM reviews WHERE reusable) r ON r.n = 1 AND r.hash_key = j.id % 400 AND r.eval_key = j.id % 3 AND r.created_at >= j.created_at - INTERVAL 365 DAY WHERE decision = 'block'")
 query("c23_requalified", quota.requalified, "SELECT f.id AS item, CASE WHEN s.id IS NULL THEN 'gone' WHEN (f.group_id + CASE WHEN f.id % 10 = 0 THEN 1 ELSE 0 END) % 25 <> s.group_id THEN 'moved' ELSE 'valid' END AS state FROM users f LEFT JOIN (SELECT u.* FROM users u JOIN grps g ON g.id = group_id WHERE NOT deleted AND status = 'active' AND role = 'user' AND platform IN ('ASIA', 'EUROPE')) s ON s.id = f.id WHERE f.role = 'user'")
 
@@ -177,6 +178,77 @@ def _breakers(t: Tables) -> DataFrame:
     return rows.select("hash_key", "user_id", "job_id", outcome.alias("outcome"), F.when(F.col("users") >= 2, "tripped").otherwise("").alias("status"), "users")
 
 
+def _flights(t: Tables) -> DataFrame:
+    jobs = t.jobs.select("id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created"), "price", "run_kind")
+    rows = t.targets.where("resolution IS NULL OR resolution = 'model'").select("job_id", "target_order", "hash_key").join(jobs, F.col("job_id") == F.col("id"))
+    at = F.col("created") + F.col("target_order") * 1_000_000
+    rows = rows.select("id", F.col("target_order").alias("place"), at.alias("at"), (F.col("created") + (1 + F.col("price") % 900) * F.lit(86_400_000_000)).alias("ends"), F.when(F.col("run_kind") == "reaudit", F.col("created")).alias("reuse_after"), F.concat_ws(":", "hash_key", F.col("price") % 3).alias("key"))
+    return folds.run_batch(rows, "key", ["at", "id", "place"], folds.join_flights, "job_id long, target_order long, scored_by long, inflight boolean")
+
+
+_FLIGHTS = """
+SELECT id AS job_id, place AS target_order, leader AS scored_by, joins AS inflight FROM (
+WITH RECURSIVE log AS (
+  SELECT j.id, t.target_order AS place, epoch_us(j.created_at) + t.target_order * 1000000 AS tm, epoch_us(j.created_at) + (1 + j.price % 900) * 86400000000 AS over_, CASE WHEN j.run_kind = 'reaudit' THEN epoch_us(j.created_at) END AS since, t.hash_key || ':' || (j.price % 3) AS key, row_number() OVER (PARTITION BY t.hash_key, j.price % 3 ORDER BY tm, j.id, t.target_order) AS n
+  FROM targets t JOIN jobs j ON j.id = t.job_id WHERE t.resolution IS NULL OR t.resolution = 'model'
+), run AS (
+  SELECT DISTINCT key, 0::BIGINT AS n, 0::BIGINT AS id, 0::BIGINT AS place, NULL::BIGINT AS leader, NULL::BIGINT AS started, [0::BIGINT][1:0] AS ends, false AS joins FROM log
+  UNION ALL
+  SELECT key, n, id, place, CASE WHEN joins THEN leader ELSE id END, CASE WHEN joins THEN started ELSE tm END, CASE WHEN joins THEN left_ ELSE list_append(left_, over_) END, joins
+  FROM (SELECT *, leader IS NOT NULL AND len(left_) = len(ends) AND (since IS NULL OR started >= since) AS joins FROM (SELECT l.*, r.leader, r.started, r.ends, list_filter(r.ends, lambda e: e > l.tm) AS left_ FROM run r JOIN log l ON l.key = r.key AND l.n = r.n + 1))
+) SELECT * FROM run WHERE n > 0)
+"""
+
+
+def _operated(t: Tables) -> DataFrame:
+    """Marks of violations between what operators do to a hash: trust, untrust and confirm, by the actions of the hash in their data."""
+    start, month = (F.unix_micros(F.lit(x).cast("timestamp")) for x in ("1995-01-01", "2024-01-01"))
+    marks = t.targets.where("kind = 'instruction' AND decision = 'block'").join(t.jobs.select("id", "user_id", "created_at"), F.col("job_id") == F.col("id"))
+    marks = marks.select(F.col("hash_key") % 100, "user_id", "job_id", F.unix_micros(F.col("created_at").cast("timestamp")), F.lit("")).distinct()
+    event = F.when(F.col("event_type") == "signup", "trust").when(F.col("event_type") == "purchase", "untrust").when(F.col("event_type") == "view", "confirm")
+    moved = start + (F.unix_micros(F.col("requested_at").cast("timestamp")) - month) * 80
+    acts = t.actions.where("event_type IN ('signup', 'purchase', 'view')").select(F.get_json_object("business_snapshot", "$.k").cast("long"), F.lit(None).cast("long"), "id", moved, event)
+    return operated_breakers(marks.toDF(*MARKS).unionByName(acts.toDF(*MARKS)))
+
+
+MARKS = ("hash_key", "user_id", "job_id", "at", "event")
+
+
+def operated_breakers(marks: DataFrame, users_to_trip: int = 2) -> DataFrame:
+    """folds.break_circuit() as windows: what operators do (event is not '') cuts a hash's marks into segments, and within one the state only changes when it
+    trips: at the first new user's mark with enough users. Order: (at, event first, job_id, user_id)."""
+    order = ["at", F.col("event") == "", "job_id", "user_id"]
+    so_far = Window.partitionBy("hash_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.col("event") == ""
+    first = F.row_number().over(Window.partitionBy("hash_key", "event", "user_id").orderBy(*order)) == 1
+    rows = marks.withColumn("new", mark & first)
+    rows = rows.withColumns({"users": F.sum(F.col("new").cast("long")).over(so_far), "segment": F.sum((~mark).cast("long")).over(so_far), "act": F.last(F.when(~mark, F.col("event")), True).over(so_far)})
+    trips = F.col("new") & (F.col("users") >= users_to_trip)
+    within = Window.partitionBy("hash_key", "segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("tripped", F.max(trips).over(within)).where(mark)
+    status = F.when(F.col("act") == "trust", "trusted").when(F.col("act") == "confirm", "confirmed").when(F.col("tripped"), "tripped").otherwise("")
+    rows = rows.withColumn("status", status)
+    outcome = F.when(~F.col("new"), "repeated").when(F.col("status").isin("tripped", "trusted"), "suppressed").otherwise("countable")
+    return rows.select("hash_key", "user_id", "job_id", outcome.alias("outcome"), "status", "users")
+
+
+#: The same by a walk: each mark or act takes its hash's users and state one step on.
+_OPERATED = """
+SELECT hash_key, user_id, job_id, CASE WHEN old THEN 'repeated' WHEN status IN ('tripped', 'trusted') THEN 'suppressed' ELSE 'countable' END AS outcome, status, len(users) AS users FROM (
+WITH RECURSIVE log AS (
+  SELECT *, row_number() OVER (PARTITION BY hash_key ORDER BY tm, event = '', job_id, user_id) AS n FROM (
+    SELECT DISTINCT hash_key % 100 AS hash_key, user_id, job_id, epoch_us(created_at) AS tm, '' AS event FROM targets t JOIN jobs j ON j.id = t.job_id WHERE kind = 'instruction' AND t.decision = 'block'
+    UNION ALL SELECT json_extract_string(business_snapshot, '$.k')::BIGINT, NULL, id, epoch_us(TIMESTAMP '1995-01-01') + (epoch_us(requested_at) - epoch_us(TIMESTAMP '2024-01-01')) * 80, CASE event_type WHEN 'signup' THEN 'trusted' WHEN 'view' THEN 'confirmed' ELSE 'none' END FROM actions WHERE event_type IN ('signup', 'purchase', 'view'))
+), run AS (
+  SELECT DISTINCT hash_key, 0::BIGINT AS n, NULL::BIGINT AS user_id, NULL::BIGINT AS job_id, '' AS event, false AS old, '' AS status, [0::BIGINT][1:0] AS users FROM log
+  UNION ALL
+  SELECT l.hash_key, l.n, l.user_id, l.job_id, l.event, list_contains(r.users, l.user_id), CASE WHEN l.event = 'none' THEN '' WHEN l.event <> '' THEN l.event WHEN r.status = '' AND NOT list_contains(r.users, l.user_id) AND len(r.users) >= 1 THEN 'tripped' ELSE r.status END,
+    CASE WHEN l.event <> '' OR list_contains(r.users, l.user_id) THEN r.users ELSE list_append(r.users, l.user_id) END
+  FROM run r JOIN log l ON l.hash_key = r.hash_key AND l.n = r.n + 1
+) SELECT * FROM run WHERE n > 0 AND event = '')
+"""
+
+
 def _throttled(t: Tables) -> DataFrame:
     rows = t.actions.where("event_type = 'error'").select("id", "user_id", F.unix_timestamp(F.col("requested_at").cast("timestamp")).alias("at_s"))
     return folds.run_batch(rows, "user_id", ["at_s", "id"], folds.throttle, "user_id long, id long, sent boolean, held_back long")
@@ -301,6 +373,8 @@ SELECT user_id, id, first AS sent, CASE WHEN first THEN coalesce(lag(held) OVER
     )
     SELECT s.*, o.n IS NOT NULL AS hit FROM notices s LEFT JOIN out o ON o.user_id = s.user_id AND o.n = s.n)))
 """
+query("g5_flights", _flights, _FLIGHTS)
+query("g8_operated_breakers", _operated, _OPERATED)
 query("g9_throttled_notices", _throttled, _NOTICES)
 query("g10_due_jobs", lifecycle.due_jobs, "SELECT id, created_at FROM jobs WHERE status IN ('queued', 'retry') ORDER BY created_at, id LIMIT 50")
 _HEALTH = """

@@ -171,6 +171,25 @@ def break_circuit(state: dict, mark: dict, users_to_trip: int = 2) -> tuple[dict
     return s, [{"hash_key": mark["hash_key"], "user_id": mark["user_id"], "job_id": mark["job_id"], "outcome": outcome, "status": s["status"], "users": len(s["users"])}]
 
 
+# --- calls for one text that run at the same time ---------------------------------------------------------------------
+
+
+def join_flights(state: dict, r: dict) -> tuple[dict, list[dict]]:
+    """Whether a target's evaluation joins one that runs (inflight), and the job whose it is.
+
+    r: id (job), place, at, ends (when its job ends), reuse_after. A flight can be joined until the job that started it ends, by requests
+    always and by a repeated audit if the flight started at reuse_after or later; else that one starts a flight in its place. The
+    end of any job that started a flight takes the present one away.
+    """
+    s = {"flight": None, "ends": []} | state
+    if any(e <= r["at"] for e in s["ends"]):
+        s |= {"flight": None, "ends": [e for e in s["ends"] if e > r["at"]]}
+    joins = s["flight"] is not None and (r["reuse_after"] is None or s["flight"][1] >= r["reuse_after"])
+    if not joins:
+        s |= {"flight": [r["id"], r["at"]], "ends": [*s["ends"], r["ends"]]}
+    return s, [{"job_id": r["id"], "target_order": r["place"], "scored_by": s["flight"][0], "inflight": joins}]
+
+
 # --- notices of a user ------------------------------------------------------------------------------------------------
 
 
