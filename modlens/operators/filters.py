@@ -33,6 +33,11 @@ class JobFilter:
     run_kind: str | None = None
     mode: str | None = None
     category: str | None = None
+    api_key_id: int | None = None
+    group_id: int | None = None
+    platform: str | None = None
+    request_id: str | None = None
+    model: str | None = None
     since: str | None = None
     until: str | None = None
 
@@ -48,7 +53,8 @@ class JobFilter:
         return self
 
     def columns(self) -> list[Column]:
-        pairs = (("user_id", self.user_id), ("client_fingerprint", self.client), ("status", self.status), ("decision", self.decision), ("run_kind", self.run_kind), ("run_mode", self.mode))
+        pairs = (("user_id", self.user_id), ("client_fingerprint", self.client), ("status", self.status), ("decision", self.decision), ("run_kind", self.run_kind), ("run_mode", self.mode),
+                 ("api_key_id", self.api_key_id), ("group_id", self.group_id), ("platform", self.platform), ("request_id", self.request_id), ("model", self.model))
         out = [F.col(c) == v for c, v in pairs if v is not None]
         if self.ids:
             out.append(F.col("id").isin(*self.ids))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from modlens.functions import conversation, decisions, protocol, text
 from modlens.operators import relational
-from modlens.plans import boards, bodies, clients, lifecycle, quota, stats, transitions
+from modlens.plans import boards, bodies, clients, console, lifecycle, quota, stats, transitions
 from modlens.sources import sinks
 from modlens.sources.oracle import sql
 from modlens.sources.tables import Tables
@@ -254,10 +254,10 @@ def _throttled(t: Tables) -> DataFrame:
     return folds.run_batch(rows, "user_id", ["at_s", "id"], folds.throttle, "user_id long, id long, sent boolean, held_back long")
 
 
-def _health(t: Tables) -> DataFrame:
+def _health(t: Tables, made: str = "model_id long, at_s long, health string, cooldown_until double, latency_ewma double") -> DataFrame:
     error = F.when(F.col("status") == "succeeded", "").when(F.col("line") == 2, "rate_limited").otherwise("timeout")
     rows = t.attempts.select("model_id", F.unix_timestamp(F.col("dispatch_started_at").cast("timestamp")).alias("at_s"), "latency_ms", error.alias("error"), F.lit(True).alias("retryable"), F.lit(0).alias("retry_after_s"), "job_id", "line")
-    return folds.run_batch(rows, "model_id", ["at_s", "job_id", "line", "latency_ms"], folds.node_health, "model_id long, at_s long, health string, cooldown_until double, latency_ewma double")
+    return folds.run_batch(rows, "model_id", ["at_s", "job_id", "line", "latency_ms"], folds.node_health, made)
 
 
 def _resets(t: Tables) -> DataFrame:
@@ -405,6 +405,14 @@ WITH RECURSIVE log AS (
 ) SELECT * FROM run WHERE n > 0)
 """
 query("g13_node_health", _health, _HEALTH)
+_LAST = _HEALTH.replace("SELECT model_id, tm AS at_s, health, until::DOUBLE AS cooldown_until, latency AS latency_ewma FROM (", "SELECT model_id, arg_max(health, n) AS health, arg_max(tm, n) AS seen FROM (") + " GROUP BY model_id"
+query(
+    "h7_inbox_board",
+    lambda t: console.inbox_board(t, _health(t, "model_id long, at_s long, health string, calls long")),
+    "SELECT * FROM (WITH a AS (SELECT 'action_failed' AS category, count(*) AS n, max(requested_at) AS newest FROM actions WHERE execution_status IN ('failed', 'unknown') UNION ALL SELECT 'notification_failed', count(*), max(requested_at) FROM actions WHERE notification_status = 'failed' AND requested_at >= TIMESTAMP '2024-01-13' "
+    "UNION ALL SELECT 'failure_rate', 1, max(requested_at) FROM actions WHERE requested_at BETWEEN TIMESTAMP '2024-01-19' AND TIMESTAMP '2024-01-20' HAVING count(*) >= 5 AND count(*) FILTER (WHERE execution_status = 'failed') / count(*) >= 0.2 UNION ALL SELECT 'breaker_pending', count(*), NULL FROM breakers WHERE status = 'tripped' "
+    f"UNION ALL SELECT 'node_unhealthy', count(*), make_timestamp(max(seen) * 1000000) FROM ({_LAST}) WHERE health NOT IN ('healthy', 'unknown', 'disabled')) SELECT * FROM a UNION ALL SELECT 'total', sum(n)::BIGINT, max(newest) FROM a)",
+)
 query("g17_reset_detector", _resets, _DETECTED)
 query("g18_reset_events", quota.reset_events, "SELECT event_key, min(id) AS event_id, arg_min(user_id, id) AS monitor, arg_min(requested_at, id) AS reset_at FROM (SELECT *, 'automatic:' || user_id || ':' || strftime(requested_at, '%Y-%m-%d') AS event_key FROM actions WHERE execution_status = 'failed') GROUP BY 1")
 query("g19_fan_out", quota.fan_out, f"SELECT group_id, batch, count(*) * 3 AS records, count(*) AS items, min(id) AS first FROM (SELECT u.id, group_id, (row_number() OVER (PARTITION BY group_id ORDER BY u.id) - 1) // 100 AS batch FROM {_SUBS}) GROUP BY 1, 2")
@@ -443,5 +451,5 @@ query("h19_subscriptions", quota.subscriptions, f"SELECT u.id AS subscription_id
 
 # --- configuration, admission, delivery ---------------------------------------------------------------------------------------------
 
-for _name, _make, _sql in [*transitions.REPORTS, *clients.REPORTS, *bodies.REPORTS]:
+for _name, _make, _sql in [*transitions.REPORTS, *clients.REPORTS, *bodies.REPORTS, *console.REPORTS]:
     query(_name, _make, _sql)

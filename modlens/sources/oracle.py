@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modlens.sources.tables import JOBS
+from modlens.sources.tables import GROUP_FIELDS, JOBS, NODE_FIELDS, SUBSCRIPTIONS
 
 VIEWS = {
     "users": "SELECT c_custkey AS id, c_name AS username, lower(c_name) || '@example.com' AS email, CASE WHEN c_custkey % 20 = 0 THEN 'admin' ELSE 'user' END AS role, CASE WHEN c_acctbal < 0 THEN 'disabled' ELSE 'active' END AS status, c_mktsegment = 'MACHINERY' AS deleted, c_nationkey AS group_id, c_acctbal AS balance FROM customer",
@@ -20,6 +20,9 @@ VIEWS = {
     "samples": "SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'block' ELSE 'pass' END AS expected, CASE WHEN quality = 1 THEN 'pass' ELSE 'block' END AS actual FROM labels",
     "prompts": "SELECT doc_id AS id, text, CASE WHEN doc_id % 2 = 0 THEN 'instruction' ELSE 'user' END AS kind, lang, source FROM documents",
     "turns": "SELECT * FROM conversations",
+    "node_configs": f"SELECT s_suppkey AS model_id, s_acctbal >= 0 AS enabled, {NODE_FIELDS} FROM supplier",
+    "subscriptions": f"SELECT {SUBSCRIPTIONS} FROM orders",
+    "quota_groups": f"SELECT n_nationkey AS id, n_name AS name, {GROUP_FIELDS} FROM nation",
 }
 
 

@@ -35,7 +35,9 @@ def export_rows(df: DataFrame, score: str = "score", times: tuple[str, ...] = ("
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    export_rows(df).write.option("header", True).option("escape", '"').csv(path)
+    """df as CSV for spreadsheets: each file begins with a byte order mark, as part of its header."""
+    rows = export_rows(df)
+    rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]).write.option("header", True).option("escape", '"').csv(path)
 
 
 def json_rows(df: DataFrame) -> DataFrame:

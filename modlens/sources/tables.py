@@ -21,8 +21,16 @@ JOBS = """
   CASE o_orderkey % 4 WHEN 0 THEN 'claude_code' WHEN 1 THEN 'codex' WHEN 2 THEN 'gemini_cli' ELSE 'generic' END AS client_fingerprint,
   'R0' || CAST(1 + o_orderkey % 9 AS varchar(1)) AS category_code, o_orderkey % 3 <> 0 AS enforcement_eligible,
   o_orderkey % 7 = 0 AS orphan_continuation, CASE WHEN o_orderkey % 11 = 0 THEN 'reaudit' ELSE 'request' END AS run_kind,
-  1 + o_orderkey % 2 AS current_round, CAST(floor(o_totalprice) AS bigint) AS price
+  1 + o_orderkey % 2 AS current_round, CAST(floor(o_totalprice) AS bigint) AS price,
+  o_custkey * 10 + o_orderkey % 3 AS api_key_id, 'req-' || CAST(o_orderkey AS varchar(20)) AS request_id, 'model-' || substr(o_orderpriority, 1, 1) AS model,
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'responses' WHEN '2' THEN 'gemini' WHEN '3' THEN 'anthropic_messages' ELSE 'chat_completions' END AS protocol
 """
+#: The rest of a node's configuration, as SELECT items over supplier that both engines read.
+NODE_FIELDS = "'https://n' || CAST(s_nationkey AS varchar(5)) || '.example.com/v1' AS base_url, 'scorer-' || CAST(s_nationkey % 7 AS varchar(5)) AS model, CASE s_nationkey % 4 WHEN 0 THEN 'responses' WHEN 1 THEN 'anthropic_messages' WHEN 2 THEN 'gemini' ELSE 'chat_completions' END AS api_format, CAST(abs(floor(s_acctbal)) AS bigint) + 1000 AS timeout_ms"
+#: Subscriptions: orders stand for them.
+SUBSCRIPTIONS = "o_orderkey AS id, o_custkey AS user_id, CAST(floor(o_totalprice) AS bigint) % 25 AS group_id, CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'P' THEN 'suspended' ELSE 'expired' END AS status, o_orderdate AS starts_at, substr(o_orderpriority, 1, 1) = '5' AS deleted, o_totalprice AS used"
+#: What groups have besides: their state, kind and platform.
+GROUP_FIELDS = "n_nationkey % 9 = 8 AS deleted, CASE WHEN length(n_name) % 4 = 3 THEN 'disabled' ELSE 'active' END AS status, CASE WHEN n_regionkey < 4 THEN 'openai' ELSE 'gemini' END AS platform, CASE WHEN n_nationkey % 5 = 4 THEN 'balance' ELSE 'subscription' END AS subscription_type"
 
 
 class Tables:
@@ -77,6 +85,18 @@ class Tables:
     def nodes(self) -> DataFrame:
         return self.raw("supplier").selectExpr("s_suppkey AS model_id", "CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS name", "s_acctbal >= 0 AS enabled")
 
+    @cached_property
+    def node_configs(self) -> DataFrame:
+        return self.raw("supplier").selectExpr("s_suppkey AS model_id", "s_acctbal >= 0 AS enabled", *_split(NODE_FIELDS))
+
+    @cached_property
+    def subscriptions(self) -> DataFrame:
+        return self.raw("orders").selectExpr(*_split(SUBSCRIPTIONS))
+
+    @cached_property
+    def quota_groups(self) -> DataFrame:
+        return self.raw("nation").selectExpr("n_nationkey AS id", "n_name AS name", *_split(GROUP_FIELDS))
+
     @cached_property
     def reviews(self) -> DataFrame:
         return self.raw("orders").selectExpr(

@@ -219,7 +219,8 @@ def node_health(state: dict, call: dict) -> tuple[dict, list[dict]]:
     stage than HEALTH_STAGES says nothing of the node. The first call after a cooldown is a probe of a half open node. The latency is smoothed: a
     fifth of the new value and four fifths of the old.
     """
-    s = {"health": "unknown", "fails": 0, "opened": 0, "until": None, "latency": None} | state
+    s = {"health": "unknown", "fails": 0, "opened": 0, "until": None, "latency": None, "calls": 0} | state
+    s["calls"] += 1
     if call["error"] and call.get("stage", "model_request") not in HEALTH_STAGES:
         return s, []
     if s["health"] == "cooldown" and s["until"] is not None and call["at_s"] >= s["until"]:
@@ -240,7 +241,7 @@ def node_health(state: dict, call: dict) -> tuple[dict, list[dict]]:
             s |= {"health": "cooldown", "until": int(call["at_s"] + wait)}
         else:
             s["health"] = "degraded"
-    return s, [{"model_id": call["model_id"], "at_s": call["at_s"], "health": s["health"], "cooldown_until": s["until"], "latency_ewma": s["latency"]}]
+    return s, [{"model_id": call["model_id"], "at_s": call["at_s"], "health": s["health"], "cooldown_until": s["until"], "latency_ewma": s["latency"], "calls": s["calls"], "error": error}]
 
 
 # --- weekly windows of an account ---------------------------------------------------------------------------------------
