@@ -130,6 +130,33 @@ def inbox_board(t: Tables, calls: DataFrame, as_of: str = "2024-01-20", days: in
     return rows.unionByName(rows.agg(F.sum("n").alias("n"), F.max("newest").alias("newest")).select(F.lit("total").alias("category"), "n", "newest"))
 
 
+def claimable_jobs(t: Tables, now: str = "1996-01-01", may_evaluate: bool = True, n: int = 50) -> DataFrame:
+    """The next jobs that a worker may claim at `now`, with whether the claim costs an attempt: queued, due, and either complete (all targets of the round resolved, or
+    one of them blocked) or, while evaluation is allowed, async or a repeated audit with attempts left or a pause behind it.
+
+    The next attempt is a minute after the creation for each price unit modulo 600; attempts and pauses come from the price too.
+    """
+    jobs = t.jobs.where("status = 'queued'").withColumns({"next": F.col("created_at").cast("timestamp") + F.make_dt_interval(mins=(F.col("price") % 600).cast("int")), "attempts": F.col("price") % 5, "paused": F.col("price") % 4 == 0})
+    jobs = jobs.where(F.col("next") <= F.lit(now).cast("timestamp")).select("id", "current_round", "run_mode", "run_kind", "next", "attempts", "paused")
+    targets = t.targets.groupBy("job_id", "round").agg(F.count_if(F.col("resolution").isNull()).alias("open"), F.count_if(F.col("decision") == "block").alias("blocked"))
+    rows = jobs.join(targets, (F.col("id") == F.col("job_id")) & (F.col("current_round") == F.col("round")), "left")
+    ready = (F.coalesce("open", F.lit(0)) == 0) | (F.coalesce("blocked", F.lit(0)) > 0)
+    may = F.lit(may_evaluate) & ((F.col("run_mode") == "async") | (F.col("run_kind") == "reaudit")) & ((F.col("attempts") < 3) | F.col("paused"))
+    due = rows.where(ready | may).orderBy("next", "id").limit(n)
+    return due.select("id", F.col("next").cast("timestamp_ntz").alias("next_attempt_at"), (~ready & ~F.col("paused")).alias("costs"))
+
+
+def event_board(t: Tables, number: int = 1, size: int = 100) -> DataFrame:
+    """Reset events, newest first, with their batches: an event is open while one of them waits or is in flight, then as bad as its worst one. A day's jobs
+    stand for an event's batches: queued ones are in flight, blocked ones uncertain, ones under review partial."""
+    state = F.when(F.col("status") == "queued", "inflight").when(F.col("status") == "failed", "failed").when(F.col("decision") == "block", "uncertain").when(F.col("decision") == "review", "partial").otherwise("succeeded")
+    by = t.jobs.select(F.to_date("created_at").alias("event"), state.alias("state"), "user_id").groupBy("event")
+    has = lambda *names: F.count_if(F.col("state").isin(*names))
+    rows = by.agg(F.count(F.lit(1)).alias("batches"), F.countDistinct("user_id").alias("subscriptions"), has("pending", "inflight").alias("open"), has("uncertain", "reviewed").alias("uncertain"), has("partial", "failed").alias("partial"))
+    status = F.when(F.col("open") > 0, "pending").when(F.col("uncertain") > 0, "uncertain").when(F.col("partial") > 0, "partial").otherwise("completed")
+    return page(rows.select("event", "batches", "subscriptions", "open", status.alias("status")), [F.desc("event")], number, size)
+
+
 DRAFTS = {
     "same": ("policy", None, None),
     "policy": ("policy, but stricter \"<now>\"", None, None),
@@ -168,6 +195,18 @@ REPORTS = [
         f"SELECT * FROM (WITH forms AS ({_FORMS}) SELECT f.draft, concat_ws(',', CASE WHEN f.policy <> s.policy THEN 'policy' END, CASE WHEN f.nodes <> s.nodes THEN 'nodes' END) AS parts, {_HASH.format(k='user')} AS user_hash, {_HASH.format(k='instruction')} AS instruction_hash, (f.policy, f.nodes) <> (s.policy, s.nodes) AS user_changed, user_changed AS instruction_changed, "
         "(SELECT count(DISTINCT t.hash_key) FROM targets t JOIN jobs j ON j.id = t.job_id WHERE t.kind = 'instruction' AND j.created_at > TIMESTAMP '2001-01-01' AND t.hash_key NOT IN (SELECT hash_key FROM trust)) AS recent_blocks FROM forms f, forms s WHERE s.draft = 'same')",
     ),
+    (
+        "g10_claimable_jobs",
+        claimable_jobs,
+        "SELECT id, next_attempt_at, NOT ready AND NOT paused AS costs FROM (SELECT id, created_at + to_minutes(price % 600) AS next_attempt_at, run_mode, run_kind, price % 5 AS attempts, price % 4 = 0 AS paused, NOT EXISTS (SELECT 1 FROM targets t WHERE t.job_id = j.id AND t.round = j.current_round AND t.resolution IS NULL) OR EXISTS (SELECT 1 FROM targets t WHERE t.job_id = j.id AND t.round = j.current_round AND t.decision = 'block') AS ready FROM jobs j WHERE status = 'queued') "
+        "WHERE next_attempt_at <= TIMESTAMP '1996-01-01' AND (ready OR (run_mode = 'async' OR run_kind = 'reaudit') AND (attempts < 3 OR paused)) ORDER BY next_attempt_at, id LIMIT 50",
+    ),
+    (
+        "h17_event_board",
+        event_board,
+        "SELECT event, count(*) AS batches, count(DISTINCT user_id) AS subscriptions, count(*) FILTER (WHERE s = 'inflight') AS open, CASE WHEN bool_or(s = 'inflight') THEN 'pending' WHEN bool_or(s = 'uncertain') THEN 'uncertain' WHEN bool_or(s IN ('partial', 'failed')) THEN 'partial' ELSE 'completed' END AS status "
+        "FROM (SELECT created_at::DATE AS event, user_id, CASE WHEN status = 'queued' THEN 'inflight' WHEN status = 'failed' THEN 'failed' WHEN decision = 'block' THEN 'uncertain' WHEN decision = 'review' THEN 'partial' ELSE 'succeeded' END AS s FROM jobs) GROUP BY event ORDER BY event DESC LIMIT 100",
+    ),
     ("h19_valid_subscriptions", valid_subscriptions, f"SELECT s.id, s.user_id, s.group_id, g.name AS group_name, u.username, printf('%.2f', s.used) AS monthly_usage, s.starts_at + INTERVAL 12 MONTH AS expires_at {_VALID}"),
     ("h18_group_counts", group_counts, f"SELECT s.group_id, g.name AS group_name, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total {_VALID} GROUP BY 1, 2"),
 ]

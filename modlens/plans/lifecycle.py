@@ -116,23 +116,24 @@ def target_categories(t: Tables, review: float = 0.02, block: float = 0.05) -> D
     return jobs.select("id", "decision", F.coalesce(F.array_join(target_codes(F.col("nodes"), F.col("decision"), declared, review, block), ","), F.lit("")).alias("codes"))
 
 
-def policy_replay(t: Tables) -> DataFrame:
+def policy_replay(t: Tables, of_block: int = 1024, most: int = 1 << 20) -> DataFrame:
     """Each sample scored by each enabled node with a fixed scorer, and the nodes' verdict on it.
 
-    Equal samples are counted before they meet the nodes; votes are added up as they are made, in the same task.
+    Every sample meets every node, as their votes depend on both; but nodes come in blocks of about of_block ids, a sample's row
+    holds a block and adds up its votes, and equal samples are counted before. The blocks are broadcast up to `most`
+    nodes, 8 MB of ids; beyond that they are dealt out by Spark.
     """
     samples = t.samples.groupBy("id", "expected").agg(F.count(F.lit(1)).alias("copies"))
-    scored = samples.crossJoin(t.nodes.where("enabled").select("model_id"))
-    vote = classify(((F.col("id") * 31 + F.col("model_id") * 17) % 100) / 100.0, 0.3, 0.6)
-    votes = lambda v: F.sum(F.when(F.col("v") == v, F.col("copies")).otherwise(0))
-    by = scored.withColumn("v", vote).groupBy("id", "expected").agg(votes("block").alias("b"), votes("review").alias("r"), F.sum("copies").alias("n"))
+    nodes = t.nodes.where("enabled").select("model_id")
+    n = nodes.count()
+    blocks = nodes.groupBy(F.pmod(F.xxhash64("model_id"), F.lit(max(1, -(-n // of_block)))).alias("block")).agg(F.collect_list("model_id").alias("ids")).select("ids")
+    scored = samples.join(F.broadcast(blocks) if n <= most else blocks, how="cross")
+    vote = lambda m: classify(((F.col("id") * 31 + m * 17) % 100) / 100.0, 0.3, 0.6)
+    votes = lambda v: F.sum(F.size(F.filter("ids", lambda m: vote(m) == v)) * F.col("copies"))
+    by = scored.groupBy("id", "expected").agg(votes("block").alias("b"), votes("review").alias("r"), F.sum(F.size("ids") * F.col("copies")).alias("n"))
     return by.select("id", "expected", vote_outcome("majority_block", F.col("b"), F.col("r"), F.lit(0), F.lit(0), F.col("n"))["decision"].alias("decision"))
 
 
 def due_jobs(t: Tables, n: int = 50) -> DataFrame:
     """The next jobs of the queue."""
     return t.jobs.where("status IN ('queued', 'retry')").orderBy("created_at", "id").limit(n).select("id", "created_at")
-
-
-def purged_samples(t: Tables) -> DataFrame:
-    return t.samples.where("expected = 'block'").select("id", "actual")

@@ -54,7 +54,7 @@ query(
     lambda t: t.actions.select("id", text.csv_guard(F.expr("CASE id % 4 WHEN 0 THEN '=1' WHEN 1 THEN '-x' WHEN 2 THEN '@y' ELSE 'plain' END")).alias("cell")),
     "SELECT id, CASE WHEN left(c, 1) IN ('=', '+', '-', '@') THEN '''' || c ELSE c END AS cell FROM (SELECT id, CASE id % 4 WHEN 0 THEN '=1' WHEN 1 THEN '-x' WHEN 2 THEN '@y' ELSE 'plain' END AS c FROM actions)",
 )
-query("a19_json_rows", lambda t: sinks.json_rows(t.breakers))
+query("a19_json_rows", lambda t: sinks.json_rows(t.breakers), """SELECT '{"hash_key":' || hash_key || ',"status":"' || status || '","distinct_users":' || distinct_users || '}' AS row FROM breakers""")
 query(
     "a20_metric_lines",
     lambda t: sinks.metric_lines(stats.by_status(t), "audit_jobs", ("status", "decision"), "n"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import zlib
 
 import pandas as pd
@@ -56,14 +55,19 @@ def request_bodies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inflate_body(body: bytes | None, encoding: str | None) -> bytes | None:
-    """The decompressed body; null if it is over MOST_BODY bytes or broken."""
+    """The decompressed body; null if it is over MOST_BODY bytes, of which no more are made, or broken."""
     if body is None:
         return None
     try:
-        if encoding == "gzip":
-            body = gzip.decompress(body)
-        elif encoding == "deflate":
-            body = zlib.decompress(body)
+        if encoding in ("gzip", "deflate"):
+            out, rest = bytearray(), body
+            while rest and len(out) <= MOST_BODY:  # a gzip body may have several members
+                inflater = zlib.decompressobj(31 if encoding == "gzip" else 15)
+                out += inflater.decompress(rest, MOST_BODY + 1 - len(out))
+                if len(out) <= MOST_BODY and not inflater.eof:
+                    return None
+                rest = inflater.unused_data if encoding == "gzip" else b""
+            body = bytes(out)
         elif encoding == "zstd":
             import zstandard
 

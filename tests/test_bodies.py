@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
 import json
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from modlens.functions import protocol, requests
+from modlens.plans import lifecycle
+from modlens.sources import sinks
+from modlens.sources.tables import Tables
 
 
 def items(spark, name, *bodies):
@@ -142,3 +147,20 @@ def test_folded_streams(spark, events, want):
     body = "event: e\r\n" + "\r\n".join(f"data: {e}" for e in events) + "\r\n\r\ndata:\r\ndata: [DONE]\r\n: comment"
     got = spark.createDataFrame([(body,)], "body string").select(protocol.folded_stream(F.col("body")).alias("f")).first()["f"]
     assert (got["text"], got["refusal"], got["error"]) == want
+
+
+def test_inflated_bodies():
+    text = b"x" * 100_000
+    assert sinks.inflate_body(gzip.compress(text), "gzip") == text == sinks.inflate_body(zlib.compress(text), "deflate")
+    assert sinks.inflate_body(gzip.compress(b"a") + gzip.compress(b"b"), "gzip") == b"ab"
+    assert sinks.inflate_body(gzip.compress(text)[:-20], "gzip") is None and sinks.inflate_body(b"junk", "deflate") is None
+    most = b"\0" * sinks.MOST_BODY
+    assert sinks.inflate_body(gzip.compress(most), "gzip") == most
+    bomb = gzip.compress(b"\0" * (1 << 20)) * 2_000
+    assert sinks.inflate_body(bomb, "gzip") is None and sinks.inflate_body(gzip.compress(most + b"\0"), "gzip") is None
+
+
+def test_replay_in_blocks(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    want = sorted(tuple(r) for r in lifecycle.policy_replay(t).collect())
+    assert sorted(tuple(r) for r in lifecycle.policy_replay(t, of_block=3).collect()) == want == sorted(tuple(r) for r in lifecycle.policy_replay(t, of_block=2, most=1).collect())
