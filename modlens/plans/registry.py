@@ -140,7 +140,12 @@ query("e12_reaudit_plan", lifecycle.reaudit_plan, "SELECT id, CASE WHEN status N
 
 query("f2_text_hashes", boards.text_hashes, "SELECT sha256(kind || chr(0) || t) AS hash, min(id) AS first_id, count(*) AS n FROM (SELECT id, kind, regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^\\s+', ''), '\\s+$', '') AS t FROM prompts) GROUP BY 1")
 query("f3_simhash", lambda t: t.prompts.select("id", text.simhash64("text").alias("simhash")))
-query("f8_target_categories", lifecycle.target_categories)
+query(
+    "f8_target_categories",
+    lifecycle.target_categories,
+    "SELECT j.id, j.decision, coalesce(string_agg(DISTINCT c, ',' ORDER BY c) FILTER (j.decision <> 'pass' AND a.status <> 'failed' AND a.confidence >= CASE j.decision WHEN 'block' THEN 0.05 ELSE 0.02 END AND c <= 'R07'), '') AS codes "
+    "FROM jobs j JOIN (SELECT *, unnest(CASE line % 3 WHEN 0 THEN ['R0' || (1 + model_id % 9)] WHEN 1 THEN ['R01', 'R0' || (1 + hash_key % 9)] ELSE ['none'] END) AS c FROM attempts WHERE call_kind = 'audit') a ON a.job_id = j.id WHERE j.decision IS NOT NULL GROUP BY 1, 2",
+)
 _VOTES = "SELECT job_id, hash_key, count(*) FILTER (WHERE NOT f AND NOT s AND v = 'block') AS b, count(*) FILTER (WHERE NOT f AND NOT s AND v = 'review') AS r, count(*) FILTER (WHERE f) AS x, count(*) FILTER (WHERE s) AS k, count(*) AS n, max(CASE WHEN NOT f AND NOT s THEN confidence END) AS score FROM (SELECT *, status = 'failed' AS f, line = 5 AND status <> 'failed' AS s, CASE WHEN confidence * 10 >= 6.0 THEN 'block' WHEN confidence * 10 >= 3.0 THEN 'review' ELSE 'pass' END AS v FROM attempts) GROUP BY 1, 2"
 for _rule, _need in (("majority_block", "n // 2 + 1"), ("all_block", "n"), ("any_block", "1")):
     query(
@@ -149,7 +154,18 @@ for _rule, _need in (("majority_block", "n // 2 + 1"), ("all_block", "n"), ("any
         f"SELECT job_id, hash_key, CASE WHEN b >= {_need} THEN 'block' WHEN k > 0 OR b + x >= {_need} THEN NULL WHEN b + r + x > 0 THEN 'review' ELSE 'pass' END AS decision, x > 0 AS partial, CASE WHEN b >= {_need} THEN NULL WHEN k > 0 THEN 'invalid_model_result' WHEN b + x >= {_need} THEN 'audit_unavailable' END AS failure, score FROM ({_VOTES})",
     )
 query("f14_job_decisions", lifecycle.job_decisions, "SELECT job_id, CASE WHEN o = 0 OR d = 'block' THEN d END AS decision, CASE WHEN o = 0 OR d = 'block' THEN kind END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY CASE d WHEN 'block' THEN 3 WHEN 'review' THEN 2 WHEN 'pass' THEN 1 ELSE 0 END DESC, kind = 'user' DESC, target_order) AS r, count(*) FILTER (WHERE d IS NULL) OVER (PARTITION BY job_id) AS o FROM (SELECT job_id, target_order, min(kind) AS kind, max(decision) AS d FROM targets GROUP BY 1, 2)) WHERE r = 1")
-query("f18_turns", lambda t: conversation.turns(t.turns))
+_CURRENT = r"""SELECT * FROM (WITH said AS (
+  SELECT * FROM (SELECT conv_id, turn, CASE WHEN role IN ('system', 'developer') THEN 'instruction' ELSE role END AS role, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^\s+', ''), '\s+$', '') AS text FROM turns) WHERE text <> ''
+), told AS (
+  SELECT conv_id, list(h ORDER BY t) AS hashes FROM (SELECT conv_id, sha256('instruction' || chr(0) || text) AS h, min(turn) AS t FROM said WHERE role = 'instruction' GROUP BY ALL) GROUP BY conv_id
+), talk AS (
+  SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS fin FROM (SELECT *, max(CASE WHEN role <> 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM said WHERE role <> 'instruction') WHERE turn <= last
+), run AS (
+  SELECT conv_id, bool_or(turn = last AND role = 'tool') AS continuation, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'user' AND turn > stop AND turn <= fin) AS asked FROM (SELECT *, coalesce(max(CASE WHEN role <> 'user' AND turn < fin THEN turn END) OVER (PARTITION BY conv_id), -1) AS stop FROM talk) GROUP BY conv_id
+) SELECT conv_id, coalesce(continuation, false) AS continuation, CASE WHEN coalesce(asked, '') <> '' THEN sha256('user' || chr(0) || asked) ELSE '' END AS user_hash, coalesce(len(hashes), 0)::BIGINT AS instructions,
+  sha256('{"instructions":[' || coalesce(array_to_string(list_transform(hashes, lambda x: '"' || x || '"'), ','), '') || '],"user":"' || user_hash || '"}') AS fingerprint
+FROM (SELECT DISTINCT conv_id FROM said) LEFT JOIN run USING (conv_id) LEFT JOIN told USING (conv_id))"""
+query("f18_turns", lambda t: conversation.turns(t.turns), _CURRENT)
 query(
     "f28_delays",
     lambda t: t.actions.select("id", decisions.auto_retry_minutes(F.col("user_id") % 4).alias("minutes"), decisions.cooldown_s(1 + F.col("user_id") % 8).alias("cooldown"), decisions.notification_delay_s(F.col("user_id") % 12).alias("notify")),
