@@ -22,12 +22,10 @@ def _keys(simhash: str) -> Column:
     return F.array(*[F.col(simhash).bitwiseAND(F.lit(signed(sum(c))).cast("long")) for c in combinations(masks, 3)])
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFrame:
-    """a, b, distance of rows (id, simhash) of left and right with different ids and at most `most` different bits.
+def similar_classes(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFrame:
+    """ha, hb, distance of the distinct simhashes of left and right with at most `most` different bits, equal ones included.
 
-    With `most` up to MOST, three of the BLOCKS parts of two such hashes are equal, so the join on (choice, bits) misses
-    none. Rows of one hash are one class: classes are joined, then their members are listed, so a hash that many rows
-    share isn't compared with itself row by row.
+    With `most` up to MOST, three of the BLOCKS parts of two such hashes are equal, so the join on (choice, bits) misses none.
     """
     if most > MOST:
         raise ValueError("more different bits than the tables find")
@@ -38,6 +36,28 @@ def similar_pairs(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFr
 
     a, b = banded(left, "ha"), banded(right, "hb")
     d = hamming(F.col("ha"), F.col("hb"))
-    classes = a.join(b, (F.col("ha_band") == F.col("hb_band")) & (F.col("ha_bits") == F.col("hb_bits")) & (d <= most)).select("ha", "hb").distinct()
-    out = classes.join(left.select(F.col("id").alias("a"), F.col("simhash").alias("sa")), F.col("ha") == F.col("sa")).join(right.select(F.col("id").alias("b"), F.col("simhash").alias("sb")), F.col("hb") == F.col("sb"))
-    return out.where("a <> b").select("a", "b", d.cast("int").alias("distance"))
+    close = a.join(b, (F.col("ha_band") == F.col("hb_band")) & (F.col("ha_bits") == F.col("hb_bits")) & (d <= most))
+    return close.select("ha", "hb").distinct().withColumn("distance", d.cast("int"))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFrame:
+    """a, b, distance of rows (id, simhash) of left and right with different ids and at most `most` different bits.
+
+    Rows of one hash are one class: classes are joined, then their members are listed, so a hash that many rows share isn't
+    compared with itself row by row.
+    """
+    out = similar_classes(left, right, most).join(left.select(F.col("id").alias("a"), F.col("simhash").alias("sa")), F.col("ha") == F.col("sa"))
+    out = out.join(right.select(F.col("id").alias("b"), F.col("simhash").alias("sb")), F.col("hb") == F.col("sb"))
+    return out.where("a <> b").select("a", "b", "distance")
+
+
+def nearest_before(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """For each row (id, simhash) that has a similar one of a smaller id the nearest of those: a, b, distance (least distance, then least a).
+
+    Of a class of equal hashes only the smallest id can be that, so members meet classes, never each other.
+    """
+    least = rows.where("simhash IS NOT NULL").groupBy(F.col("simhash").alias("h")).agg(F.min("id").alias("a"))
+    near = similar_classes(rows, rows, most).join(least, F.col("ha") == F.col("h")).select("hb", "distance", "a")
+    met = rows.join(near, (F.col("simhash") == F.col("hb")) & (F.col("a") < F.col("id")))
+    by = met.groupBy(F.col("id").alias("b")).agg(F.min(F.struct("distance", "a")).alias("near"))
+    return by.select("near.a", "b", "near.distance")

@@ -9,7 +9,7 @@ from modlens.functions.text import content_hash, csv_guard, normalise, simhash64
 from modlens.operators.filters import JobFilter, action_filter, all_of, keyword_or_id, text_search
 from modlens.operators.relational import flag, latest_per, max_per, page
 from modlens.functions import diff
-from modlens.operators.similar import similar_pairs
+from modlens.operators.similar import nearest_before, similar_pairs
 from modlens.plans.stats import exact, in_range
 from modlens.sources.tables import Tables
 
@@ -155,7 +155,7 @@ def similar_prompts(t: Tables) -> DataFrame:
 
 def similar_pair(t: Tables) -> DataFrame:
     """For each prompt with similar ones of smaller ids the nearest of them (least distance, then id), and what differs line by line."""
-    nearest = similar_prompts(t).groupBy("b").agg(F.min(F.struct("distance", "a")).alias("near")).select("b", F.col("near.a").alias("a"), F.col("near.distance").alias("distance"))
+    nearest = nearest_before(t.prompts.where("kind = 'instruction'").select("id", simhash64("text").alias("simhash")))
     before, after = (t.prompts.select(F.col("id").alias(f"{k}_id"), F.col("text").alias(f"{k}_text")) for k in "ab")
     pairs = nearest.join(before, F.col("a") == F.col("a_id")).join(after, F.col("b") == F.col("b_id"))
     diff.register(t.spark)
