@@ -54,8 +54,10 @@ def similar_pairs(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFr
 def nearest_before(rows: DataFrame, most: int = MOST) -> DataFrame:
     """For each row (id, simhash) that has a similar one of a smaller id the nearest of those: a, b, distance (least distance, then least a).
 
-    Of a class of equal hashes only the smallest id can be that, so members meet classes, never each other.
+    Of a class of equal hashes only the smallest id can be that, so members meet classes, never each other. The hashes are read four times; where the
+    session has a checkpoint folder they are written there first.
     """
+    rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
     least = rows.where("simhash IS NOT NULL").groupBy(F.col("simhash").alias("h")).agg(F.min("id").alias("a"))
     near = similar_classes(rows, rows, most).join(least, F.col("ha") == F.col("h")).select("hb", "distance", "a")
     met = rows.join(near, (F.col("simhash") == F.col("hb")) & (F.col("a") < F.col("id")))
