@@ -54,12 +54,21 @@ def similar_pairs(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFr
 def nearest_before(rows: DataFrame, most: int = MOST) -> DataFrame:
     """For each row (id, simhash) that has a similar one of a smaller id the nearest of those: a, b, distance (least distance, then least a).
 
-    Of a class of equal hashes only the smallest id can be that, so members meet classes, never each other. The hashes are read four times; where the
-    session has a checkpoint folder they are written there first.
+    Within a class of equal hashes that is the smallest id, for every member but that one itself. So only smallest ids are looked for among other classes,
+    and of all classes at one distance the least id is enough: a group-by without lists finds it right behind the join, and no member meets more than one
+    row. Distances are taken within buckets of equal bits, in as many tasks as the session shuffles into, however few bytes the hashes are.
     """
-    rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
-    least = rows.where("simhash IS NOT NULL").groupBy(F.col("simhash").alias("h")).agg(F.min("id").alias("a"))
-    near = similar_classes(rows, rows, most).join(least, F.col("ha") == F.col("h")).select("hb", "distance", "a")
-    met = rows.join(near, (F.col("simhash") == F.col("hb")) & (F.col("a") < F.col("id")))
-    by = met.groupBy(F.col("id").alias("b")).agg(F.min(F.struct("distance", "a")).alias("near"))
-    return by.select("near.a", "b", "near.distance")
+    rows = rows.where("simhash IS NOT NULL")
+    spark = rows.sparkSession
+    rows = rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows
+    classes = rows.groupBy("simhash").agg(F.min("id").alias("least"))
+    tables = classes.select("*", F.posexplode(_keys("simhash")).alias("band", "bits")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band", "bits")
+    a, b = (tables.select("band", "bits", F.col("simhash").alias(f"h{k}"), F.col("least").alias(k)) for k in "ab")
+    d = hamming(F.col("ha"), F.col("hb"))
+    met = a.join(b.hint("merge"), ["band", "bits"]).where((F.col("a") < F.col("b")) & (d <= most))
+    at = [f"at{k}" for k in range(1, most + 1)]
+    by = met.groupBy(F.col("b").alias("least")).agg(*[F.min(F.when(d == k, F.col("a"))).alias(c) for k, c in enumerate(at, 1)])
+    other = F.coalesce(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("distance"), F.col(c).alias("a"))) for k, c in enumerate(at, 1)])
+    first = by.select(other.alias("near"), F.col("least").alias("b"))
+    later = rows.join(classes, "simhash").where("id > least").select(F.struct(F.lit(0).alias("distance"), F.col("least").alias("a")).alias("near"), F.col("id").alias("b"))
+    return first.unionByName(later).select("near.a", "b", "near.distance")
