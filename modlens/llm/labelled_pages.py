@@ -54,4 +54,28 @@ PAGES = (
     """<html><body><article><h1>§Marsh</h1><p>§The ditch behind the mill has silted up, and the frogs have moved to the pond.</p><p>§So have we.</p></article></body></html>""",
     """<html><body><div><h1>§Orrin</h1><p>§Seven houses, a mill and a name that nobody can explain.</p></div></body></html>""",
     """<html><body><p>§A line without a heading, put up on the wall where all could read it as they went by.</p></body></html>""",
+    # one form around everything, no article element
+    """<html><body><form id="aspnetForm" method="post"><div id="ctl00_top"><a href=/>Start</a> <a href=/t>Timetable</a> <a href=/k>Contact</a></div><div id="ctl00_main"><h1>§Water level</h1><p>§The gauge at the lower lock stood at four metres on Monday morning, a hand below the mark of the great flood.</p><p>§It has fallen since.</p><p>§Barges may pass again from Thursday if the rain holds off, says the lock keeper, who has slept in the hut for a week.</p></div><div id="ctl00_end"><label>Station</label><select><option>Orrin</option></select><button>Show</button></div><div>© 2019 River Board. All rights reserved.</div></form></body></html>""",
+    """<html><body><form method="post"><h1>§Lost and found</h1><p>§A grey coat, two umbrellas and a box of chalk were left in the waiting room and can be fetched on weekdays.</p><p>§Ask at the window.</p><p>§What nobody fetches within a year is sold at the autumn market for the orphans' fund.</p><div>Copyright Orrin Railway</div></form></body></html>""",
+    # articles under names that elsewhere mark what is beside them
+    """<html><body><nav><a href=/>Home</a></nav><div class="legal"><h1>§The law of the well</h1><p>§Whoever digs a well owes water to the neighbour, but only as much as one person can carry in a day without a cart.</p><p>§So it is written in the book of the parish, and so it was kept until the pipes came.</p><p>§Nobody has asked for it since.</p></div><div class="cookie-notice"><p>We keep small files on your device. Reading on means that you agree.</p></div></body></html>""",
+    """<html><body><div class="notice"><h2>§Road closed</h2><p>§The road over the pass is closed from the first snow until the plough has been through, which was in May last year.</p><p>§Use the valley road.</p></div></body></html>""",
+    """<html><body><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul><section class="story social"><h1>§A dance in the barn</h1><p>§On Saturday the young people cleared the barn, hung lamps from the beams and danced until the cows complained.</p><p>§There was cider.</p><p>§The next one is planned for the end of the hay harvest, when there is nothing in the barn to move aside.</p></section><div class="share-buttons"><a href=#>Send</a> <a href=#>Print</a></div></body></html>""",
+    """<html><body><div class="row"><div class="col article-side"><h1>§Grafting</h1><p>§Cut the twig in winter and keep it cold, in sand, until the sap rises in the tree that is to bear it.</p><p>§Bind it with bast and seal the wound with wax, and leave it alone until midsummer.</p></div><div class="col sidebar"><p>The nursery is open on Saturdays, and by appointment for large orders of trees.</p></div></div></body></html>""",
+    """<html><body><aside><article><h1>§Bees</h1><p>§The swarm sat in the pear tree for a day and a night before it found the empty hive behind the wash house.</p><p>§It stayed there.</p></article></aside><footer>Orrin Beekeepers, founded in a dry year</footer></body></html>""",
+    """<html><body><main><h1>§Ice</h1><p>§The lake froze over on the third of January, and on the fifth the first cart crossed it with hay for the island.</p><p>§The ice held for nine weeks, longer than anyone now living can remember it to have held before.</p></main><aside><article><p>Our shop has skates for children and for those who still feel like ones.</p></article></aside></body></html>""",
+    # readers' comments and footers that no name gives away
+    """<html><body><div><a href=/>Home</a> <a href=/w>Weather</a></div><div><h1>§The old oak</h1><p>§The oak by the church fell in the night without any wind, after seven hundred years by the count of its rings.</p><p>§The carpenter will make a bench of the lowest branch, and the rest goes to the school for its stoves.</p><p>§Seedlings can be had from the sexton.</p></div><div><p>I was married under that tree. What a pity.</p></div><div><p>It was hollow, everybody knew it, and nobody did a thing.</p></div><div>Copyright 1998 Orrin Parish. All rights reserved.</div></body></html>""",
+    """<html><body><article><h1>§Potato blight</h1><p>§It begins with brown spots on the leaves after three warm, wet days, and within a week the whole row can be lost.</p><p>§Cut the tops and burn them.</p></article><div><p>We lost half of ours last year and planted beans instead, which the pigeons ate, so this year we shall try both and see what comes of it.</p></div><div><p>Same here!</p></div><div>Copyright 2003 Field Club. All rights reserved.</div></body></html>""",
+    """<html><body><main><h1>§Stone walls</h1><p>§A dry wall stands by its weight. Lay each stone across two others, long side inwards, and fill the middle with small ones.</p><p>§No mortar.</p></main><div>What about frost? Mine moved last winter and I had to take down four metres of it.</div><div>Sent by a reader</div><div>© Wall Society</div></body></html>""",
+    """<html><body><article><h1>§The clock</h1><p>§The church clock has been slow since the lightning, and the village has agreed to be late with it.</p><p>§Trains are met by the sun.</p></article><article><p>My grandfather wound that clock for thirty years and never once was it late.</p></article><article><p>Have it mended, I say.</p></article></body></html>""",
+    # sections of one article, each in its own unnamed box
+    """<html><body><div><a href=/>Index</a></div><div><div><h1>§The parish in figures</h1><p>§Counted on the first day of the year, by the teacher and two of the older pupils, going from door to door.</p></div><div><h2>§People</h2><p>§There are four hundred and eleven people in ninety houses, eleven more than in the year before, all of them children.</p><p>§Six have left.</p></div><div><h2>§Cattle</h2><p>§Cows have grown fewer and goats more, as the upper meadows are no longer mown and goats do not mind thistles.</p><p>§Horses: nine.</p></div></div><div><a href=/2>Next year</a></div></body></html>""",
+    """<html><body><article><section><h2>§Spring</h2><p>§Plough as soon as the soil no longer sticks to the boot, and harrow it twice before the first seed.</p></section><section><h2>§Summer</h2><p>§Hoe.</p><p>§Water in the evening, never at noon.</p></section><section><h2>§Autumn</h2><p>§Lift the roots on a dry day and leave them on the field until the earth falls off.</p></section><section class="newsletter"><p>Get the calendar by mail, twelve times a year, free of charge for members.</p></section></article></body></html>""",
+    """<html><body><div><a href=/>Map</a> <a href=/k>Key</a></div><div><h1>§Walks from the station</h1><p>§All of them begin at the pump.</p></div><div><h2>§The river path</h2><p>§Cross the footbridge, turn left at the tannery and keep to the bank until the alders end; from there the tower of Orrin shows the way over open fields.</p><p>§Two hours, flat all the way, with an inn at either end and none between.</p><p>§In wet springs the second meadow is under water and the path goes by the road.</p></div><div><h2>§The quarry</h2><p>§Up the steps, forty minutes.</p><p>§Mind the edge.</p></div><div><h2>§The chapel</h2><p>§Ask for the key at the mill.</p></div><div><a href=/2>More walks</a></div></body></html>""",
+    # an advert before the article, a line of rights after it
+    """<html><body><nav><ul><li><a href=/1>un</a></li><li><a href=/2>deux</a></li></ul></nav><div class="ad">Cheese of the valley, now in all shops.</div><article><h1>§Haymaking</h1><p>§Begin when the clover flowers.</p><p>§Turn it twice a day, and bring it in before the dew falls, or it will heat in the stack and may burn the barn.</p><p>§So much for hay.</p></article><footer>© m.valley.example · Made by hand, in the valley</footer></body></html>""",
+    # a place and a month below the text
+    """<html><body><article><h1>§Snow in June</h1><p>§It lay on the upper meadows for two days, and the cows were brought down to the village and stood in the street.</p><p>§Orrin, in the wet summer</p></article></body></html>""",
+    """<html><body><nav><a href=/>Home</a></nav><div><h1>§The two bells</h1><p>§The larger one cracked on a feast day and was sold by weight, and the smaller one has rung alone ever since.</p><p>§Written at the school</p></div></body></html>""",
 )
