@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from modlens.plans import registry
 
 
@@ -18,3 +20,21 @@ def test_replay_asks_every_enabled_node(spark, tmp_path):
         want.add((i, "block" if toxic else "pass", "block" if b >= len(x) // 2 + 1 else "review" if b + r else "pass"))
     got = [tuple(r) for r in registry.QUERIES["g28_policy_replay"](spark, str(tmp_path)).select("id", "expected", "decision").collect()]
     assert len(got) == len(want) and set(got) == want and (0, "pass", "block") in want
+
+
+def test_notices_between_whole_seconds(spark, tmp_path):
+    """Gaps of nearly an hour, from and to any part of a second: as the SQL has them."""
+    import duckdb
+
+    start, hour = datetime(2024, 1, 1), 3_600_000_000
+    parts = [0, 1, 499_999, 500_000, 500_001, 999_999, 1_500_000]
+    at = [(i * 7 + j, i * 7 + j, a, hour + b) for i, a in enumerate(parts) for j, b in enumerate(parts)]
+    events = [(2 * i + k, start + timedelta(microseconds=us), u, "error", 1.0, "{}") for i, u, *both in at for k, us in enumerate(both)]
+    path = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(path)
+    got = sorted(tuple(r) for r in registry.QUERIES["g9_throttled_notices"](spark, str(tmp_path)).select("user_id", "id", "sent", "held_back").collect())
+    db = duckdb.connect()
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "conversations"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    assert got == sorted(db.execute(registry.ORACLES["g9_throttled_notices"]).fetchall()) and {r[2] for r in got if r[1] % 2} == {True, False}
