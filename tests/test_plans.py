@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
-from modlens.plans import registry
+from modlens.plans import lifecycle, registry
+from modlens.sources.tables import Tables
 
 
 def test_replay_asks_every_enabled_node(spark, tmp_path):
@@ -38,3 +40,21 @@ def test_notices_between_whole_seconds(spark, tmp_path):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
     assert got == sorted(db.execute(registry.ORACLES["g9_throttled_notices"]).fetchall()) and {r[2] for r in got if r[1] % 2} == {True, False}
+
+
+def test_replay_by_classes(spark, tmp_path):
+    """A hundred samples' and nodes' classes at the most, whatever their number; ids below zero, remainders of which are negative, and null."""
+    suppliers = [(n, f"s{n}", 1.0) for n in [*range(-40, 700), None]] + [(n, "off", -1.0) for n in range(800, 900)]
+    labels = [(i, 1, i % 2) for i in [*range(-900, 40), *range(2000, 2020)]] + [(3, 1, 1), (None, 1, 0)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = set()
+    for i, _, toxic in labels:
+        x = [int(math.fmod(i * 31 + n * 17, 100)) if i is not None and n is not None else -1 for n, _, on in suppliers if on >= 0]
+        b, r = sum(v >= 60 for v in x), sum(30 <= v < 60 for v in x)
+        want.add((i, "block" if toxic else "pass", "block" if b >= len(x) // 2 + 1 else "review" if b + r else "pass"))
+    got = [tuple(r) for r in registry.QUERIES["g28_policy_replay"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and {w[2] for w in want} == {"review", "pass"}
+    ids = Tables(spark, str(tmp_path)).samples
+    assert lifecycle.vote_classes(ids.where("id >= 0"), "id", 31, 0).select("folded", "rest").distinct().count() == 40
+    assert lifecycle.vote_classes(spark.range(20_000), "id", 17, 0).select("folded", "rest").distinct().count() == 100
