@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from modlens.operators import similar
 from modlens.plans import lifecycle, registry
 from modlens.sources.tables import Tables
 
@@ -58,3 +61,15 @@ def test_replay_by_classes(spark, tmp_path):
     ids = Tables(spark, str(tmp_path)).samples
     assert lifecycle.vote_classes(ids.where("id >= 0"), "id", 31, 0).select("folded", "rest").distinct().count() == 40
     assert lifecycle.vote_classes(spark.range(20_000), "id", 17, 0).select("folded", "rest").distinct().count() == 100
+
+
+def test_similar_pairs_are_dealt_out(spark):
+    """Twenty rows a hash are never broadcast, and no task gathers pairs to tell them apart; members are hashed, not sorted with the pairs."""
+    df = spark.range(500).select("id", (F.col("id") * 3).alias("simhash"))
+    got = similar.similar_pairs(df, df)
+    plan = got._jdf.queryExecution()
+    physical, logical = plan.sparkPlan().toString(), plan.optimizedPlan().toString()
+    assert "Broadcast" not in physical and physical.count("ShuffledHashJoin") == 2 and physical.count("SortMergeJoin") == 1
+    assert not [line for line in logical.split("\n") if "Aggregate" in line and "ha#" in line and "hb#" in line]
+    pairs = [(r["a"], r["b"]) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(b, a) for a, b in pairs} and pairs
