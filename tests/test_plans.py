@@ -73,3 +73,15 @@ def test_similar_pairs_are_dealt_out(spark):
     assert not [line for line in logical.split("\n") if "Aggregate" in line and "ha#" in line and "hb#" in line]
     pairs = [(r["a"], r["b"]) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(b, a) for a, b in pairs} and pairs
+
+
+def test_kept_texts_sort_no_targets(spark):
+    """Targets stream past hashed jobs, and no review is ranked for its text; on ties and old reviews as the SQL has it."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = lifecycle.kept_texts(t)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and plan.count("ShuffledHashJoin") >= 3
+    kept = lifecycle.kept_reviews(t)
+    texts = {r[0] for r in t.texts.select("hash_key").collect()}
+    refs = [lifecycle.kept_targets(t), kept, t.trust, t.breakers]
+    want = {r[0] for df in refs for r in df.select("hash_key").distinct().collect()} & texts
+    assert {r["hash_key"] for r in lifecycle.kept_texts(t).collect()} == want
