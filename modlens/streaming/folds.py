@@ -26,7 +26,8 @@ def run_batch(df: DataFrame, key: str, order: list[str], fold: Fold, schema: str
 
     Records are dealt by key and sorted where they lie, which spills, and go through in Arrow batches: a task holds one
     batch, the state of one key and what the batch made, however many records a key has. Records are dicts of plain
-    values, None for null. Ties in `order` are in no stated order.
+    values, None for null. Ties in `order` are in no stated order. There are as many tasks as the session shuffles into, not
+    as few as it has cores, so that a task sorts its share of that number, however large the input.
     """
     made = to_arrow_schema(T.StructType.fromDDL(schema))
 
@@ -42,7 +43,8 @@ def run_batch(df: DataFrame, key: str, order: list[str], fold: Fold, schema: str
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=made)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def run_stream(df: DataFrame, key: str, order: list[str], fold: Fold, schema: str) -> DataFrame:

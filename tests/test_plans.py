@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from modlens.operators import similar
 from modlens.plans import lifecycle, registry
 from modlens.sources.tables import Tables
+from modlens.streaming import folds
 
 
 def test_replay_asks_every_enabled_node(spark, tmp_path):
@@ -85,3 +86,14 @@ def test_kept_texts_sort_no_targets(spark):
     refs = [lifecycle.kept_targets(t), kept, t.trust, t.breakers]
     want = {r[0] for df in refs for r in df.select("hash_key").distinct().collect()} & texts
     assert {r["hash_key"] for r in lifecycle.kept_texts(t).collect()} == want
+
+
+def test_folds_are_dealt_into_the_sessions_tasks(spark):
+    """As many tasks as the session shuffles into, which aren't joined to fewer, so a task sorts its share alone."""
+    rows = spark.range(100).select((F.col("id") % 9).alias("user_id"), "id", (F.col("id") * 100).alias("at_s"))
+    got = folds.run_batch(rows, "user_id", ["at_s", "id"], folds.throttle, "user_id long, id long, sent boolean, held_back long")
+    admitted = registry.QUERIES["g2_admission"](spark, "/root/testdata/sf0.001")
+    for df in (got, admitted):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert got.count() == 100
