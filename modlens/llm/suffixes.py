@@ -19,8 +19,16 @@ def types(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes' first `depth` bytes at least.
+def needed(small: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted suffixes, and all that their places are induced from: those after each, up to one smaller than its successor."""
+    n = len(small)
+    last = np.append(-1, np.maximum.accumulate(np.where(small, np.arange(n), -1))[:-1])
+    count = np.append(0, np.cumsum(wanted))
+    return count[1:] > count[last + 1]
+
+
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Positions in the order of their suffixes' first `depth` bytes at least; of the wanted ones alone, if a mask is given.
 
     Stage one sorts only the suffixes that are smaller than their successors, bucket by first byte. Stage two scans the
     buckets in order: every suffix i that has its place gives the next place of the bucket of text[i - 1] to suffix
@@ -31,11 +39,13 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     small = types(text)
     raw = text.tobytes()
-    direct = np.flatnonzero(small)
+    need = np.ones(n, bool) if wanted is None else needed(small, wanted)
+    large = need & ~small
+    direct = np.flatnonzero(need & small)
     direct = direct[np.argsort(text[direct], kind="stable")]
     limits = np.searchsorted(text[direct], np.arange(257))
     places: list[list[np.ndarray]] = [[] for _ in range(256)]
-    if not small[n - 1]:
+    if large[n - 1]:
         places[text[n - 1]].append(np.array([n - 1]))  # the empty suffix comes first and induces the last one
     out = []
     for c in range(256):
@@ -43,7 +53,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         waves = [part]
         while len(wave):  # those that this bucket induces in itself
             p = wave[wave > 0] - 1
-            wave = p[(text[p] == c) & ~small[p]]
+            wave = p[(text[p] == c) & large[p]]
             waves.append(wave)
         mine = direct[limits[c] : limits[c + 1]].tolist()
         mine.sort(key=lambda i: raw[i : i + depth])
@@ -52,14 +62,15 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             continue
         out.append(bucket)
         p = bucket[bucket > 0] - 1
-        p = p[(text[p] > c) & ~small[p]]
+        p = p[(text[p] > c) & large[p]]
         if len(p):
             p = p[np.argsort(text[p], kind="stable")]
             firsts, starts = np.unique(text[p], return_index=True)
             for byte, group in zip(firsts, np.split(p, starts[1:])):
                 places[byte].append(group)
         places[c] = []
-    return np.concatenate(out)
+    order = np.concatenate([*out, np.zeros(0, np.int64)])
+    return order if wanted is None else order[wanted[order]]
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -91,3 +102,15 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         if not len(open_):
             break
     return np.minimum(out, most)
+
+
+def share_start(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """For each suffix but the first of the order, whether its common prefix with the one before it has `width` bytes; all
+    suffixes of the order have as many."""
+    out = np.zeros(max(len(order) - 1, 0), bool)
+    if len(out):
+        windows = np.lib.stride_tricks.sliding_window_view(text, width)
+        for lo in range(0, len(out), 1024):
+            rows = windows[order[lo : lo + 1025]]
+            out[lo : lo + 1024] = (rows[1:] == rows[:-1]).all(axis=1)
+    return out
